@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, codec, mixing, quality, token_counts
+from . import chat, codec, minhash, mixing, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_chat_format": chat.op2_chat_format,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_bpe_round_trip": codec.op5_bpe_round_trip,
+    "op6_minhash": minhash.op6_minhash,
     "op7_mixing": mixing.op7_mixing,
 }
 
