@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, codec, minhash, mixing, quality, token_counts
+from . import chat, codec, lines, minhash, mixing, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_bpe_round_trip": codec.op5_bpe_round_trip,
     "op6_minhash": minhash.op6_minhash,
     "op7_mixing": mixing.op7_mixing,
+    "op8_line_dedup": lines.op8_line_dedup,
 }
 
 ORACLES = {
