@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,5 +61,8 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def interned(words: list[str]) -> list[str]:
-    return list(map(sys.intern, words))
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.slice(k, rows)
