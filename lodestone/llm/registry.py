@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, codec, lines, minhash, mixing, quality, token_counts
+from . import chat, codec, licenses, lines, minhash, mixing, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -12,9 +12,11 @@ QUERIES = {
     "op6_minhash": minhash.op6_minhash,
     "op7_mixing": mixing.op7_mixing,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op9_license_scan": licenses.op9_license_scan,
 }
 
 ORACLES = {
     "op2_chat_format": chat.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op9_license_scan": licenses.OP9_SQL,
 }
