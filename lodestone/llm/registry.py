@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, codec, licenses, lines, minhash, mixing, quality, token_counts
+from . import chat, codec, licenses, lines, minhash, mixing, quality, repeats, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_license_scan": licenses.op9_license_scan,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLES = {
