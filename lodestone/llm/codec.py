@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +14,8 @@ from .bpe import digest, load
 DEFAULT = "byte_bpe_50k.json"
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens long, ids array<int>: the ids of each whole text.
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id_col, n_tokens long, ids array<int>: the ids of each whole text; with `decoded` also decoded_sha256, the digest of the text decoded from them.
 
     One row for each row of df, repeated rows too. A null text counts as empty and has no ids. Special strings inside a
     text become their own id, as the tokenizers library has it by default. Other columns of df are not carried.
@@ -24,11 +25,18 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in batches:
-            ids = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["id", "n_tokens", "ids"])
-
-    return _util.only(df, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
+        for b in _util.slices(batches, 64):
+            ids, sums = [], []
+            for t in b.column(1):
+                ids.append(np.array(bpe.encode(t.as_py() or ""), np.int32))
+                if decoded:
+                    sums.append(digest(bpe.decode(ids[-1].tolist())))
+            many = np.array([len(i) for i in ids], np.int64)
+            of = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            columns, names = [b.column(0), pa.array(many), of], ["id", "n_tokens", "ids"]
+            yield pa.record_batch(columns + [pa.array(sums, pa.string())], [*names, "decoded_sha256"]) if decoded else pa.record_batch(columns, names)
+
+    return _util.only(df, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>" + ", decoded_sha256 string" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
