@@ -52,6 +52,15 @@ def plan_sql(leaves: str, share: float, epochs: int) -> str:
     FROM (SELECT domain, lang, source, tokens, CAST(floor(got + 1e-3) AS BIGINT) AS budget FROM {three} AS x) AS y"""
 
 
+#: Leaves up to which a plan is broadcast; a larger one is joined by shuffles.
+BROADCAST_LEAVES = 10_000
+
+
+def _near(leaves: DataFrame) -> DataFrame:
+    """A table of one row a leaf, broadcast if its counted rows are few: a hot leaf's documents then stay where they are."""
+    return F.broadcast(leaves) if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else leaves
+
+
 def sizes(docs: DataFrame, domain: str = DOMAIN) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens: whitespace-separated words of each whole text; null text counts as empty, null lang or source as ''."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
@@ -73,18 +82,18 @@ def plan(sized: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int
     leaves = sized.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("tokens"))
     leaf = _util.materialize(spark.sql(plan_sql("{leaves}", share, epochs), leaves=leaves), 1)
     keys = ["domain", "lang", "source"]
-    ordered = sized.join(leaf.where("rest > 0").select(*keys, "whole", "rest"), keys).withColumn("key", F.expr(_order(seed))).select(*keys, "rest", "key", "n_tokens", F.substring("key", 1, DIGITS).alias("range"))
+    ordered = sized.join(_near(leaf.where("rest > 0").select(*keys, "whole", "rest")), keys).withColumn("key", F.expr(_order(seed))).select(*keys, "rest", "key", "n_tokens", F.substring("key", 1, DIGITS).alias("range"))
     ranges = ordered.groupBy(*keys, "range").agg(F.sum("n_tokens").alias("n"))
     ranges = ranges.selectExpr(*keys, "range", f"sum(n) OVER (PARTITION BY {', '.join(keys)} ORDER BY range) - n AS before")
     summed = ordered.join(ranges, [*keys, "range"]).selectExpr(*keys, "key", "rest", f"before + sum(n_tokens) OVER (PARTITION BY {', '.join(keys)}, range ORDER BY key) AS upto_here")
     upto = summed.where("upto_here <= rest").groupBy(*keys).agg(F.max("key").alias("upto"))
-    return leaf.join(upto, keys, "left")
+    return _util.materialize(leaf.join(upto, keys, "left"), 1)
 
 
 def select(rows: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
     """Rows (with doc_id, domain, lang, source) that the plan takes, once for each epoch, with `epoch` and `budget`."""
     keys = ["domain", "lang", "source"]
-    with_plan = rows.join(planned.select(*keys, "budget", "whole", "upto"), keys)
+    with_plan = rows.join(_near(planned.select(*keys, "budget", "whole", "upto")), keys)
     taken = with_plan.withColumn("_n", F.expr(f"CAST(whole AS INT) + CASE WHEN upto IS NOT NULL AND {_order(seed)} <= upto THEN 1 ELSE 0 END")).where("_n > 0")
     return taken.withColumn("epoch", F.explode(F.expr("sequence(0, _n - 1)"))).drop("_n", "whole", "upto")
 
