@@ -9,83 +9,63 @@ from pyspark.sql import functions as F
 
 from . import _util
 
-#: Leaders tried in each bucket before the pairs that are still open are compared one by one, and the open pairs a member up to which that is done at once.
-LEADERS, OPEN = 6, 4
-
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component: of each node of edges(a, b) the smallest node that it is linked with.
 
-    Each node points at its smallest neighbour, pointers are followed to their ends by doubling, and the edges between the
-    ends are the next round's. A round's tables are written to the shared folder.
+    Large-star and small-star steps: each node's larger, then its smaller neighbours are linked with its smallest one, until every
+    component is a star around its smallest node. A step is an aggregate and a join; its edges are written to the shared
+    folder, and whether they changed is seen while they are written.
     """
-    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs, found = _util.materialize(pairs.distinct()), None
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
-    while not pairs.isEmpty():
-        points = _util.materialize(pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")))
-        while True:
-            ahead = points.select(F.col("id").alias("to"), F.col("to").alias("_then"))
-            points = _util.materialize(points.join(ahead, "to", "left").select("id", F.coalesce("_then", "to").alias("to"), F.col("_then").isNotNull().alias("moved")))
-            moved = points.where("moved").isEmpty()
-            points = points.select("id", "to")
-            if moved:
-                break
-        at = points.select(F.col("id").alias("component"), F.col("to").alias("_then"))
-        found = points.withColumnRenamed("to", "component") if found is None else found.join(at, "component", "left").select("id", F.coalesce("_then", "component").alias("component")).unionByName(points.withColumnRenamed("to", "component").join(found.select("id"), "id", "left_anti"))
-        found = _util.materialize(found)
-        a, b = points.toDF("a", "_a"), points.toDF("b", "_b")
-        ends = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y")).where("x <> y")
-        pairs = _util.materialize(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    if found is None:
-        return nodes.withColumn("component", F.col("id"))
-    return nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    pairs = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
+    last = None
+    while True:
+        pairs, seen = _util.materialize_seen(pairs, F.count("*").alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("x"))
+        if seen == last or not seen["n"]:
+            break
+        last = seen
+        both = pairs.union(pairs.select("u", "v")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select("v", F.col("m").alias("u"))
+        large = large.where("v <> u").distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v")
+        pairs = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
+    return pairs.select(F.col("v").alias("id"), F.col("u").alias("component")).union(pairs.select(F.col("u").alias("id"), F.col("u").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """The rows of members(bucket, id, ...) whose bucket has several ids, with the bucket's smallest id as `leader`. A bucket is counted, never gathered."""
-    buckets = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).where("leader <> _last").drop("_last")
-    return _util.materialize(members.join(buckets, "bucket"))
+    """The rows of members(bucket, id, ...) whose bucket has several ids, with their number `size`. A bucket is counted, never gathered."""
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    return members.join(buckets, "bucket")
 
 
 def linked(members: DataFrame, alike: Callable[[str], str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """a, b: verified links that connect whatever pairs of one bucket can be linked at all.
 
-    members: bucket, id, leader and what `alike(prefix)` needs, from shared_buckets(); alike gives SQL that must hold for a
-    pair of rows x and y; verify keeps the linked ones of pairs (a, b).
+    members: bucket, id, size and what `alike(prefix)` needs; alike gives SQL that must hold for a linked pair of rows, and
+    verify keeps the linked ones of pairs (a, b).
 
-    In each bucket all are compared with a leader. Two members then are in one component already, or one of them is
-    outside the bucket's largest component. Such outsiders lead next, so long as the pairs still open would be many; in the end each
-    outsider is compared with every member of another component. No pair of a bucket is left out but those in one
-    component, so the components are those of all pairs.
+    In each bucket all are compared with the one member that shares most buckets with others, the most central. Two members
+    then are in one component already, or one of them is outside the bucket's largest component; each such outsider is
+    compared with every member of another component. No pair of a bucket is left out but those in one component, so
+    the components are those of all pairs; the pairs that are made are those of stars and of outsiders.
     """
-    y = members.select(*[F.col(c).alias(f"y_{c}") for c in members.columns])
-    test = alike("y_")
-    star = members.withColumn("y_id", F.col("id")).join(members.where("id = leader").select("bucket", *[F.col(c).alias(f"y_{c}") for c in members.columns if c not in ("bucket", "id", "leader")]), "bucket")
-    pairs = star.where(f"id <> leader AND ({test})").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    central = members.groupBy("id").agg(F.sum("size").alias("_central"))
+    ranked = members.join(central, "id")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("_central", "id"))["id"].alias("leader"))
+    members = _util.materialize(members.join(leaders, "bucket"))
+    values = [c for c in members.columns if c not in ("bucket", "id", "size", "leader")]
+    heads = members.where("id = leader").select("bucket", *[F.col(c).alias(f"y_{c}") for c in values])
+    star = members.where("id <> leader").join(heads, "bucket").where(alike("y_"))
+    pairs = star.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     links = _util.materialize(verify(pairs))
-    led = members.where("id = leader").select("bucket", "id")
-    for k in range(LEADERS):
-        of = components(links)
-        now = members.drop("leader").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        counts = now.groupBy("bucket", "component").count()
-        main = counts.groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.sum("count").alias("size"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        now = _util.materialize(now.join(main, "bucket").join(led.withColumn("led", F.lit(True)), ["bucket", "id"], "left").withColumn("out", F.expr("component <> main AND led IS NULL")))
-        some = now.where("out").agg(F.sum(F.col("size").cast("double")).alias("open"), F.count("*").alias("n")).first()
-        if not some["n"]:
-            return links
-        last = some["open"] <= OPEN * max(now.count(), 1000) or k == LEADERS - 1
-        first = now.where("out")
-        if not last:
-            heads = first.groupBy("bucket").agg(F.min("id").alias("id"))
-            led = led.unionByName(heads)
-            first = first.join(heads, ["bucket", "id"])
-        x = first.drop("main", "size", "led", "out")
-        y = now.select("bucket", *[F.col(c).alias(f"y_{c}") for c in now.columns if c not in ("bucket", "main", "size")])
-        # two outsiders are compared once; a member that has led has been compared with all
-        open_pairs = x.join(y, "bucket").where(f"component <> y_component AND id <> y_id AND y_led IS NULL AND (NOT y_out OR id < y_id OR {'false' if last else 'true'}) AND ({test})")
-        pairs = open_pairs.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct()
-        links = _util.materialize(links.unionByName(_util.materialize(verify(pairs))))
-        if last:
-            return links
-    return links
+    of = components(links)
+    now = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    main = now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    # what has led its bucket has been compared with all of it
+    now = _util.materialize(now.join(main, "bucket").where("id <> leader").withColumn("out", F.expr("component <> main")).drop("size", "leader", "main"))
+    y = now.select("bucket", *[F.col(c).alias(f"y_{c}") for c in now.columns if c != "bucket"])
+    rest = now.where("out").join(y, "bucket").where(f"component <> y_component AND (NOT y_out OR id < y_id) AND ({alike('y_')})")
+    more = _util.materialize(verify(rest.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct()))
+    return links.unionByName(more)

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python; a batch of the longest texts stays within some tens of MB.
@@ -46,6 +46,12 @@ def materialize(df: DataFrame, parts: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_seen(df: DataFrame, *what: Column) -> tuple[DataFrame, dict]:
+    """materialize(), and aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    return materialize(df.observe(seen, *what)), seen.get
+
+
 def discard(df: DataFrame) -> None:
     """Delete the folder behind a table that materialize() made and nothing reads any more."""
     spark = df.sparkSession

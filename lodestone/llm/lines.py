@@ -99,7 +99,7 @@ def fuzzy_lines(docs: DataFrame) -> DataFrame:
     classes = scanned.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("sim").alias("sim"))
     classes = _util.materialize(classes.withColumn("id", F.xxhash64("c1", "c2")))
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m))) for k, m in enumerate(KEYS)])
-    met = _graph.shared_buckets(classes.select("id", F.explode(keys).alias("bucket")))
+    met = _util.materialize(_graph.shared_buckets(classes.select("id", F.explode(keys).alias("bucket"))))
     members = met.join(classes.select("id", "sim"), "id")
     wanted = met.select("id").distinct().join(classes, "id").select("id", "c1", "first.doc_id", "first.line_no")
 

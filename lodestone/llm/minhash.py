@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from ._hash import Words, mix, uniform
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the similarity shares no band with a probability of (1 - 0.8^4)^20 = 0.00003.
 BANDS, BAND_ROWS = 20, 4
+#: Bits of an odd sketch, and shingles above which every second, fourth and so on is sketched.
+SKETCH, SKETCHED = 512, 384
 _WORDS = Words()
 _MUL = [mix(np.uint64([k]))[0] | np.uint64(1) for k in range(1, 40)]
 
@@ -91,6 +94,29 @@ def bands(sig: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sketches(elements: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd sketches, as docs x 8 signed integers, and the power of two of which one element is sketched.
+
+    A bit is the parity of the elements that hash to it, so two sketches differ where the sets do, and the number of bits
+    that differ bounds the similarity from above.
+    """
+    level = np.maximum(0, np.floor(np.log2(np.maximum(np.bincount(doc, minlength=docs), 1) / SKETCHED))).astype(np.int64)
+    h = mix(elements ^ _MUL[-4])
+    on = (h >> np.uint64(40)) & ((np.uint64(1) << level[doc].astype(np.uint64)) - np.uint64(1)) == 0
+    cell = doc[on] * SKETCH + (h[on] & np.uint64(SKETCH - 1)).astype(np.int64)
+    bits = (np.bincount(cell, minlength=docs * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(bits.reshape(docs, SKETCH), axis=1).view(np.int64).reshape(docs, SKETCH // 64), level.astype(np.int32)
+
+
+def may_reach(threshold: float, y: str) -> str:
+    """SQL: false for pairs whose sizes rule the threshold out, or whose sketches differ in more bits than four standard deviations above what similar sets make."""
+    most = f"((weight + {y}weight) * {(1 - threshold) / (1 + threshold)!r}D / pow(2D, level))"
+    most = f"({most} + CASE WHEN level > 0 THEN 4 * sqrt({most}) ELSE 0D END)"
+    apart = " + ".join(f"bit_count(sketch[{k}] ^ {y}sketch[{k}])" for k in range(SKETCH // 64))
+    bound = f"{SKETCH / 2}D * (1 - exp(-{most} / {SKETCH / 2}D)) + 4 * sqrt({SKETCH / 4}D * (1 - exp(-{most} / {SKETCH / 4}D))) + 1"
+    return f"least(weight, {y}weight) >= {threshold} * greatest(weight, {y}weight) AND (level <> {y}level OR {apart} <= {bound})"
+
+
 def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     split = [t.split() for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
@@ -119,10 +145,26 @@ def _signed(docs: DataFrame) -> DataFrame:
             made = bands(signatures(h, doc, len(joined), BANDS * BAND_ROWS))
             c = np.frombuffer(b"".join(xxhash.xxh3_128_digest(j.encode("utf-8", "surrogatepass")) for j in joined), np.int64).reshape(-1, 2)
             weight = np.bincount(doc, minlength=len(joined))
-            of = pa.ListArray.from_arrays(pa.array(np.arange(len(joined) + 1, dtype=np.int32) * BANDS), pa.array(made.reshape(-1)))
-            yield pa.record_batch([b.column(0), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(weight.astype(np.int64)), of], ["id", "c1", "c2", "weight", "bands"])
+            sketch, level = sketches(h, doc, len(joined))
+
+            def lists(x: np.ndarray) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).reshape(-1)))
+
+            yield pa.record_batch([b.column(0), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(weight.astype(np.int64)), lists(made), lists(sketch), pa.array(level)], ["id", "c1", "c2", "weight", "bands", "sketch", "level"])
+
+    return _util.only(docs, "doc_id", "text").mapInArrow(run, f"id {kind}, c1 long, c2 long, weight long, bands array<long>, sketch array<long>, level int")
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """doc_id, text compressed, for the way to the documents it is compared with."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([z.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)], pa.binary())], ["doc_id", "text"])
 
-    return _util.only(docs, "doc_id", "text").mapInArrow(run, f"id {kind}, c1 long, c2 long, weight long, bands array<long>")
+    return texts.mapInArrow(run, f"doc_id {kind}, text binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -136,29 +178,34 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     _util.small_batches(docs.sparkSession)
     docs = _util.only(docs, "doc_id", "text")
     signed = _util.materialize(_signed(docs))
-    classes = _util.materialize(signed.where("weight > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
-    rows = classes.select("id", "weight", F.posexplode("bands").alias("_k", "_band")).select(F.xxhash64("_k", "_band").alias("bucket"), "id", "weight")
-    members = _graph.shared_buckets(rows)
-    texts = _util.materialize(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    first = [F.first(c).alias(c) for c in ("weight", "bands", "sketch", "level")]
+    classes = signed.where("weight > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("id"), *first)
+    classes = _util.materialize(classes)
+    rows = classes.select("id", F.posexplode("bands").alias("_k", "_band")).select(F.xxhash64("_k", "_band").alias("bucket"), "id")
+    met = _util.materialize(_graph.shared_buckets(rows))
+    wanted = met.select("id").distinct()
+    members = met.join(classes.select("id", "weight", "sketch", "level"), "id")
+    texts = _util.materialize(_packed(docs).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         kind = pairs.schema["a"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            z = zstandard.ZstdDecompressor()
             last, mine = None, None
             for batch in batches:
                 keep = []
                 for a, s, t in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                     if mine is None or a != last:
-                        last, mine = a, layers_of(s.as_py())
-                    keep.append(similarity(mine, layers_of(t.as_py())) >= threshold)
+                        last, mine = a, layers_of(z.decompress(s.as_py()).decode("utf-8", "surrogatepass"))
+                    keep.append(similarity(mine, layers_of(z.decompress(t.as_py()).decode("utf-8", "surrogatepass"))) >= threshold)
                 kept = batch.filter(pa.array(keep, pa.bool_()))
                 yield pa.record_batch([kept.column(0), kept.column(1)], ["a", "b"])
 
         with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
         return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").select("a", "b", "s", "t").mapInArrow(run, f"a {kind}, b {kind}")
 
-    links = _graph.linked(members, lambda y: f"least(weight, {y}weight) >= {threshold} * greatest(weight, {y}weight)", verify)
+    links = _graph.linked(members, lambda y: may_reach(threshold, y), verify)
     of = classes.select("c1", "c2", F.col("id").alias("class_id")).join(_graph.components(links).withColumnRenamed("id", "class_id"), "class_id", "left")
     out = signed.select("id", "c1", "c2", "weight").join(of, ["c1", "c2"], "left")
     alone = "weight = 0 OR id IS NULL"
