@@ -59,7 +59,7 @@ def linked(members: DataFrame, alike: Callable[[str], str], verify: Callable[[Da
     heads = members.where("id = leader").select("bucket", *[F.col(c).alias(f"y_{c}") for c in values])
     star = members.where("id <> leader").join(heads, "bucket").where(alike("y_"))
     pairs = star.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-    links = _util.materialize(verify(pairs))
+    links = _util.materialize(verify(_util.materialize(pairs)))
     of = components(links)
     now = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     main = now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
@@ -67,5 +67,8 @@ def linked(members: DataFrame, alike: Callable[[str], str], verify: Callable[[Da
     now = _util.materialize(now.join(main, "bucket").where("id <> leader").withColumn("out", F.expr("component <> main")).drop("size", "leader", "main"))
     y = now.select("bucket", *[F.col(c).alias(f"y_{c}") for c in now.columns if c != "bucket"])
     rest = now.where("out").join(y, "bucket").where(f"component <> y_component AND (NOT y_out OR id < y_id) AND ({alike('y_')})")
-    more = _util.materialize(verify(rest.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct()))
+    pairs, seen = _util.materialize_seen(rest.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct(), F.count("*").alias("n"))
+    if not seen["n"]:
+        return links
+    more = _util.materialize(verify(pairs))
     return links.unionByName(more)

@@ -1,7 +1,7 @@
 """Operator 8: fuzzy line dedup.
 
-Lines are normalised (words in lower case, without marks at their ends) and equal ones become one class. Classes whose SimHash
-differs in at most three of 64 bits agree in two of five blocks at least, so they meet in one of ten joins on two blocks; a pair that
+Lines are normalised (words in lower case, without marks at their ends) and equal ones become one class. Classes whose SimHash, of the
+distinct words, differs in at most three of 64 bits agree in two of five blocks at least, so they meet in one of ten joins on two blocks; a pair that
 meets is linked if its edit similarity is high enough. Of each connected group the first occurrence is kept.
 """
 
@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +38,33 @@ def normal_line(line: str) -> str:
 _WORDS = Words(normal_word)
 
 
-def simhashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SimHash of each run of word hashes (starts: the bounds of runs, none empty): a bit is that of most words; a tie gives 0."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, starts[:-1], axis=0, dtype=np.int32)
-    return np.packbits(ones * 2 > np.diff(starts)[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+#: Stands for a line feed among words, so that a batch of texts is hashed as one list.
+_FEED = "\ue0ff"
+_LANES = np.uint64(0x0101010101010101)
+#: Lines hashed at a time.
+LINES = 1 << 19
+
+
+def simhashes(words: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """SimHash of the distinct words of each line (line: that of each word, rising; none empty): a bit is that of most words; a tie gives 0."""
+    low = np.uint64((1 << 44) - 1)
+    key = np.sort(line.astype(np.uint64) << np.uint64(44) | words & low)
+    key = key[np.r_[True, key[1:] != key[:-1]]]
+    of = (key >> np.uint64(44)).astype(np.int64)
+    h = mix(key & low)
+    many = np.bincount(of, minlength=lines)
+    start = np.cumsum(many) - many
+    # one bit of each byte at a time, added in the bytes' lanes, for which no run may pass 255 words
+    parts = (many + 254) // 255
+    part_of = np.repeat(np.arange(lines), parts)
+    part = start[part_of] + 255 * (np.arange(len(part_of)) - np.repeat(np.cumsum(parts) - parts, parts))
+    first = np.cumsum(parts) - parts
+    out = np.zeros((lines, 8), np.uint8)
+    for j in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(j)) & _LANES, part)
+        ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int32), first, axis=0)
+        out |= (ones * 2 > many[:, None]).astype(np.uint8) << np.uint8(j)
+    return out.view(np.uint64).reshape(-1)
 
 
 def class_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,29 +79,33 @@ def _scanned(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split, doc, number = [], [], []
-            for k, text in enumerate(b.column(1).to_pylist()):
-                for j, line in enumerate((text or "").split("\n")):
-                    words = line.split()
-                    if len(words) >= MIN_WORDS:
-                        split.append(words)
-                        doc.append(k)
-                        number.append(j)
-            raw = np.concatenate([_WORDS.array(s) for s in split] + [np.zeros(0, np.uint64)])
-            line = np.repeat(np.arange(len(split)), [len(s) for s in split])
-            line, words = line[raw != 0], raw[raw != 0]
-            many = np.bincount(line, minlength=len(split))
-            on = many >= MIN_WORDS
-            words, many = words[on[line]], many[on]
-            starts = np.concatenate([[0], np.cumsum(many)])
+            flat, many = [], []
+            for text in b.column(1).to_pylist():
+                text = (text or "").replace(_FEED, "\ufffd")
+                many.append(text.count("\n") + 1)
+                flat += text.replace("\n", f" {_FEED} ").split()
+                flat.append(_FEED)
+            raw = _WORDS.array(flat)
+            feed = raw == np.uint64(_WORDS[_FEED])
+            line = np.cumsum(feed) - feed
+            on = ~feed & (raw != 0)
+            line, words = line[on], raw[on]
+            lines = sum(many)
+            long = np.bincount(line, minlength=lines)
+            keep = long >= MIN_WORDS
+            words, line = words[keep[line]], (np.cumsum(keep) - 1)[line[keep[line]]]
+            doc = np.repeat(np.arange(len(many)), many)[keep]
+            number = (np.arange(lines) - np.repeat(np.cumsum(many) - many, many).astype(np.int64))[keep] if lines else np.zeros(0, np.int64)
+            many = long[keep]
             n = len(many)
+            starts = np.concatenate([[0], np.cumsum(many)])
+            c1 = c2 = sim = np.zeros(0, np.uint64)
             if n:
                 c1, c2 = class_hashes(words, starts)
-                sim = simhashes(words, starts)
-            else:
-                c1 = c2 = sim = np.zeros(0, np.uint64)
+                cuts = range(0, n, LINES)
+                sim = np.concatenate([simhashes(words[starts[k] : starts[min(n, k + LINES)]], line[starts[k] : starts[min(n, k + LINES)]] - k, min(n, k + LINES) - k) for k in cuts])
             yield pa.record_batch(
-                [b.column(0).take(pa.array(np.array(doc, np.int64)[on])), pa.array(np.array(number, np.int32)[on]), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(many.astype(np.int32))],
+                [b.column(0).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(many.astype(np.int32))],
                 ["doc_id", "line_no", "c1", "c2", "sim", "n_words"],
             )
 
@@ -101,24 +128,29 @@ def fuzzy_lines(docs: DataFrame) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m))) for k, m in enumerate(KEYS)])
     met = _util.materialize(_graph.shared_buckets(classes.select("id", F.explode(keys).alias("bucket"))))
     members = met.join(classes.select("id", "sim"), "id")
-    wanted = met.select("id").distinct().join(classes, "id").select("id", "c1", "first.doc_id", "first.line_no")
+    packed = _util.packed(_util.only(docs, "doc_id", "text"))
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
         for b in batches:
             ids, lines = [], []
-            for i, c1, line in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                words = _WORDS.array((line or "").split())
-                words = words[words != 0]
-                # another row of the same doc_id may have another line here
-                if len(words) and class_hashes(words, np.array([0, len(words)]))[0].view(np.int64)[0] == c1:
-                    ids.append(i)
-                    lines.append(normal_line(line))
+            for text, wanted in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                split = z.decompress(text.as_py()).decode("utf-8", "surrogatepass").split("\n")
+                for w in wanted:
+                    line = split[w["line_no"]] if w["line_no"] < len(split) else ""
+                    words = _WORDS.array(line.split())
+                    words = words[words != 0]
+                    # another row of the same doc_id may have another line here
+                    if len(words) and class_hashes(words, np.array([0, len(words)]))[0].view(np.int64)[0] == w["c1"]:
+                        ids.append(w["id"])
+                        lines.append(normal_line(line))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
 
-    found = _util.only(docs, "doc_id", "text").join(wanted, "doc_id").select("id", "c1", F.expr("get(split(text, '\n'), line_no)").alias("line"))
-    texts = _util.materialize(found.mapInArrow(normal, "id long, line string").groupBy("id").agg(F.min("line").alias("line")))
-
     def verify(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = ids.join(classes, "id").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("id", "c1", F.col("first.line_no").alias("line_no"))).alias("wanted"))
+        found = packed.join(wanted, "doc_id").select("text", "wanted").mapInArrow(normal, "id long, line string")
+        texts = _util.materialize(found.groupBy("id").agg(F.min("line").alias("line")))
         both = pairs.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b").withColumn("n", F.expr("greatest(length(s), length(t))"))
         return both.withColumn("most", F.expr(f"CAST(floor(n * {1 - SIMILARITY:.6f}D + 1e-9D) AS INT)")).where("levenshtein(s, t, most) BETWEEN 0 AND most").select("a", "b")
 

@@ -155,18 +155,6 @@ def _signed(docs: DataFrame) -> DataFrame:
     return _util.only(docs, "doc_id", "text").mapInArrow(run, f"id {kind}, c1 long, c2 long, weight long, bands array<long>, sketch array<long>, level int")
 
 
-def _packed(texts: DataFrame) -> DataFrame:
-    """doc_id, text compressed, for the way to the documents it is compared with."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([z.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)], pa.binary())], ["doc_id", "text"])
-
-    return texts.mapInArrow(run, f"doc_id {kind}, text binary")
-
-
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, component_id, kept: one row for each row of docs(doc_id, text, ...).
 
@@ -185,7 +173,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     met = _util.materialize(_graph.shared_buckets(rows))
     wanted = met.select("id").distinct()
     members = met.join(classes.select("id", "weight", "sketch", "level"), "id")
-    texts = _util.materialize(_packed(docs).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = _util.materialize(_util.packed(docs).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         kind = pairs.schema["a"].dataType.simpleString()

@@ -23,7 +23,7 @@ def brute(rows):
             if len(words) >= lines.MIN_WORDS and len(line.split()) >= lines.MIN_WORDS:
                 n = lines.normal_line(line)
                 first[n] = min(first.get(n, (doc, no)), (doc, no))
-                sims[n] = int(lines.simhashes(words, np.array([0, len(words)]))[0])
+                sims[n] = int(lines.simhashes(words, np.zeros(len(words), int), 1)[0])
     names = sorted(first)
     root = {n: n for n in names}
 
@@ -73,3 +73,15 @@ def test_against_brute_force(spark, sf):
     assert out[1001] == ["short line"] or "zz" in out[1001][0]
     assert out[2000] == [None] and out[2001] == [""] and 2004 not in out
     assert lines.fuzzy_lines(df.limit(0)).count() == 0 and lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_simhash_is_the_majority_of_distinct_words():
+    r = np.random.default_rng(3)
+    words = r.integers(0, 2**63, 900).astype(np.uint64)
+    line = np.repeat([0, 1, 2], [5, 600, 295])
+    words[3] = words[4]
+    got = lines.simhashes(words, line, 3)
+    for k in range(3):
+        h = lines.mix(np.unique(words[line == k] & np.uint64((1 << 44) - 1)))
+        want = sum(1 << j for j in range(64) if sum(int(x) >> j & 1 for x in h) * 2 > len(h))
+        assert int(got[k]) == want
