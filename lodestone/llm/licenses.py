@@ -1,7 +1,7 @@
 """Operator 9: licence scans, all in DataFrame operations.
 
 Each line of a file, and each licence file as a whole, is compared with licence templates by the cosine of sparse TF-IDF vectors; the
-weights come from the templates, and a word that none of them has weighs most. A file without a licence of its own
+weights come from the templates, and a word that none of them has weighs most. Vectors and products are computed within a line's row. A file without a licence of its own
 inherits that of the licence file in its nearest ancestor directory, found by joins on directory paths.
 """
 
@@ -40,7 +40,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
 ]
 #: Words of any text, commonest first.
-EVERYDAY = "the of a to and in is this are any by be for from all it that with on or as at not may you has have under with out use 0 2 3 4 work met version".split()
+EVERYDAY = "the of and to in a that it is for with on be as are you from or by at this have has not can use all any may under out work it met law 0 2 3 4".split()
 
 
 def words_of(text: str) -> list[str]:
@@ -69,33 +69,34 @@ for _w in EVERYDAY:
 CUES = sorted(set(IDF) - COMMON)
 _VALUES = ", ".join(f"({k}, '{name}', '{w}', CAST({x!r} AS DOUBLE), CAST({IDF[w]!r} AS DOUBLE))" for k, name, v in VECTORS for w, x in v.items())
 _IDF_VALUES = ", ".join(f"('{w}', CAST({x!r} AS DOUBLE))" for w, x in sorted(IDF.items()))
+_IN = ", ".join(f"'{w}'" for w in sorted(IDF))
+#: What one occurrence of a word adds to the dot product with each template, and its weight.
+_ADDS = "map(" + ", ".join(f"'{w}', array({', '.join(repr(v.get(w, 0.0) * IDF[w]) + 'D' for _, _, v in VECTORS)}, {IDF[w]!r}D)" for w in sorted(IDF)) + ")"
 #: Whole words only; letters outside ASCII part words, as in words_of().
 _CUE = "(?<![a-z0-9])(" + "|".join(CUES) + ")(?![a-z0-9])"
-_COMMON_RE = "(?<![a-z0-9])(" + "|".join(sorted(COMMON)) + ")(?![a-z0-9])"
-#: What one occurrence of a cue or of a common word adds to a dot product at most.
-_MOST_CUE, _MOST_COMMON = (max(IDF[w] * x for _, _, v in VECTORS for w, x in v.items() if (w in COMMON) == common) for common in (False, True))
 
 
-def _can_match(line: str) -> str:
-    """SQL: false only for lines below the threshold. Words that no template has make the norm at least OTHER times the root of their number, and template words add no more than their bounds to a dot product."""
-    cues, common = f"regexp_count({line}, '{_CUE}')", f"regexp_count({line}, '{_COMMON_RE}')"
-    others = f"(regexp_count({line}, '[a-z0-9]+') - {cues} - {common})"
-    return f"{cues} > 0 AND {cues} * {_MOST_CUE!r}D + {common} * {_MOST_COMMON!r}D + 1e-6D >= {THRESHOLD}D * {OTHER!r}D * sqrt(CAST({others} AS DOUBLE))"
+def _squares(words: str, weight: str) -> str:
+    """SQL: the sum of squares of count times weight over the distinct words of an array."""
+    return f"""aggregate(sort_array({words}), named_struct('w', '', 'k', 0D, 's', 0D),
+      (a, w) -> CASE WHEN w = a.w THEN named_struct('w', w, 'k', a.k + 1D, 's', a.s) ELSE named_struct('w', w, 'k', 1D, 's', a.s + pow(a.k * ({weight}), 2D)) END,
+      a -> a.s + pow(a.k * ({weight}), 2D))"""
 
 
 def _scored(parts: DataFrame) -> DataFrame:
-    """id, part, licence, cosine of the best template of each row of parts(id, part, line) that reaches the threshold; ties by template order."""
-    spark = parts.sparkSession
-    words = parts.select("id", "part", F.explode(F.expr("regexp_extract_all(lower(line), '[a-z0-9]+', 0)")).alias("word")).groupBy("id", "part", "word").agg(F.count("*").alias("tf"))
-    idf = spark.sql(f"SELECT * FROM VALUES {_IDF_VALUES} AS t(word, idf)")
-    terms = spark.sql(f"SELECT * FROM VALUES {_VALUES} AS t(template, licence, word, weight, idf)").select("template", "licence", "word", "weight")
-    # both tables are constants of this module, some hundred short rows
-    weighted = words.join(F.broadcast(idf), "word", "left").withColumn("x", F.expr(f"tf * coalesce(idf, CAST({OTHER!r} AS DOUBLE))"))
-    lines = weighted.groupBy("id", "part").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.filter(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("word", "x"))), lambda v: v.isNotNull()).alias("vector"))
-    dots = lines.select("id", "part", "norm", F.explode("vector").alias("v")).select("id", "part", "norm", "v.word", "v.x").join(F.broadcast(terms), "word").groupBy("id", "part", "template", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
-    best = dots.withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= THRESHOLD)
-    top = best.groupBy("id", "part").agg(F.max(F.struct("cosine", (-F.col("template")).alias("_t"), "licence")).alias("m"))
-    return top.select("id", "part", "m.licence", "m.cosine")
+    """id, part, licence, cosine of the best template of each row of parts(id, part, line) that reaches the threshold; ties by template order. All within the row: no word is shuffled."""
+    names = "array(" + ", ".join(f"'{n}'" for _, n, _ in VECTORS) + ")"
+    return (
+        parts.withColumn("_words", F.expr("regexp_extract_all(lower(line), '[a-z0-9]+', 0)"))
+        .withColumn("_known", F.expr(f"filter(_words, w -> w IN ({_IN}))"))
+        .withColumn("_other", F.expr(f"filter(_words, w -> NOT (w IN ({_IN})))"))
+        .withColumn("_adds", F.expr(f"transform(_known, w -> element_at({_ADDS}, w))"))
+        .withColumn("_square", F.expr(_squares("_other", f"{OTHER!r}D") + " + " + _squares("_known", f"coalesce(element_at({_ADDS}, a.w)[{len(VECTORS)}], 0D)")))
+        .withColumn("_dots", F.expr(f"aggregate(_adds, array_repeat(0D, {len(VECTORS) + 1}), (a, x) -> zip_with(a, x, (p, q) -> p + q))"))
+        .select("id", "part", F.inline(F.array(F.expr(f"array_max(transform(slice(_dots, 1, {len(VECTORS)}), (d, k) -> named_struct('cosine', round(d / sqrt(_square), 6), 't', -k, 'licence', {names}[k])))"))))
+        .where(f"cosine >= {THRESHOLD}")
+        .select("id", "part", "licence", "cosine")
+    )
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def scan(files: DataFrame) -> DataFrame:
     """
     files = files.select("id", "path", F.coalesce("text", F.lit("")).alias("text")).withColumn("is_file", F.coalesce(F.expr(f"regexp_extract(path, '[^/]*$', 0) RLIKE '{FILE_NAMES}'"), F.lit(False)))
     cued = files.where(F.expr(f"lower(text) RLIKE '{_CUE}'"))
-    lines = cued.select("id", "path", F.posexplode(F.expr("split(lower(text), '\\n')")).alias("part", "line")).where(F.expr(f"line RLIKE '{_CUE}'")).where(F.expr(_can_match("line"))).select(F.struct("id", "path").alias("id"), "part", "line")
+    lines = cued.select("id", "path", F.posexplode(F.expr("split(lower(text), '\\n')")).alias("part", "line")).where(F.expr(f"line RLIKE '{_CUE}'")).select(F.struct("id", "path").alias("id"), "part", "line")
     whole = cued.where("is_file").select(F.struct("id", "path").alias("id"), F.lit(-1).alias("part"), F.col("text").alias("line"))
     scored = _scored(lines.unionByName(whole).distinct())
     own = scored.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("part")).alias("_p"), "licence")).alias("m")).select("id.id", "id.path", F.col("m.licence").alias("own"), "m.cosine")
