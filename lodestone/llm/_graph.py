@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _util
 
+#: Members of a bucket that all others are compared with first.
+LEADERS = 4
+
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component: of each node of edges(a, b) the smallest node that it is linked with.
@@ -52,19 +56,21 @@ def linked(members: DataFrame, alike: Callable[[str], str], verify: Callable[[Da
     the components are those of all pairs; the pairs that are made are those of stars and of outsiders.
     """
     central = members.groupBy("id").agg(F.sum("size").alias("_central"))
-    ranked = members.join(central, "id")
-    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("_central", "id"))["id"].alias("leader"))
-    members = _util.materialize(members.join(leaders, "bucket"))
-    values = [c for c in members.columns if c not in ("bucket", "id", "size", "leader")]
-    heads = members.where("id = leader").select("bucket", *[F.col(c).alias(f"y_{c}") for c in values])
-    star = members.where("id <> leader").join(heads, "bucket").where(alike("y_"))
+    w = W.partitionBy("bucket").orderBy(F.desc("_central"), "id")
+    # a limit by rank in its bucket is taken before the exchange already, so no bucket is gathered
+    heads = members.join(central, "id").withColumn("_rank", F.row_number().over(w)).where(f"_rank <= {LEADERS}")
+    values = [c for c in members.columns if c not in ("bucket", "id", "size")]
+    heads = _util.materialize(heads.select("bucket", F.col("id").alias("leader"), *[F.col(c).alias(f"y_{c}") for c in values]))
+    members = _util.materialize(members)
+    star = members.join(heads, "bucket").where(f"id <> leader AND ({alike('y_')})")
     pairs = star.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     links = _util.materialize(verify(_util.materialize(pairs)))
     of = components(links)
     now = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     main = now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     # what has led its bucket has been compared with all of it
-    now = _util.materialize(now.join(main, "bucket").where("id <> leader").withColumn("out", F.expr("component <> main")).drop("size", "leader", "main"))
+    now = now.join(main, "bucket").join(heads.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
+    now = _util.materialize(now.withColumn("out", F.expr("component <> main")).drop("size", "main"))
     y = now.select("bucket", *[F.col(c).alias(f"y_{c}") for c in now.columns if c != "bucket"])
     rest = now.where("out").join(y, "bucket").where(f"component <> y_component AND (NOT y_out OR id < y_id) AND ({alike('y_')})")
     pairs, seen = _util.materialize_seen(rest.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct(), F.count("*").alias("n"))

@@ -26,7 +26,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the similarity shares no band with a probability of (1 - 0.8^4)^20 = 0.00003.
 BANDS, BAND_ROWS = 20, 4
 #: Bits of an odd sketch, and shingles above which every second, fourth and so on is sketched.
-SKETCH, SKETCHED = 512, 384
+SKETCH, SKETCHED = 512, 1024
 _WORDS = Words()
 _MUL = [mix(np.uint64([k]))[0] | np.uint64(1) for k in range(1, 40)]
 
@@ -113,7 +113,9 @@ def may_reach(threshold: float, y: str) -> str:
     most = f"((weight + {y}weight) * {(1 - threshold) / (1 + threshold)!r}D / pow(2D, level))"
     most = f"({most} + CASE WHEN level > 0 THEN 4 * sqrt({most}) ELSE 0D END)"
     apart = " + ".join(f"bit_count(sketch[{k}] ^ {y}sketch[{k}])" for k in range(SKETCH // 64))
-    bound = f"{SKETCH / 2}D * (1 - exp(-{most} / {SKETCH / 2}D)) + 4 * sqrt({SKETCH / 4}D * (1 - exp(-{most} / {SKETCH / 4}D))) + 1"
+    # mean and variance of the bits that differ when so many elements do
+    one, two = (f"pow({1 - k / SKETCH!r}D, {most})" for k in (2, 4))
+    bound = f"{SKETCH / 2}D * (1 - {one}) + 2 * sqrt(greatest(0D, {SKETCH}D + {SKETCH * (SKETCH - 1)}D * {two} - {SKETCH**2}D * {one} * {one})) + 1"
     return f"least(weight, {y}weight) >= {threshold} * greatest(weight, {y}weight) AND (level <> {y}level OR {apart} <= {bound})"
 
 
