@@ -205,3 +205,18 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of near copies among all documents."""
     return near_duplicates(_util.table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, by their exact similarity.
+OP6_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, [w for w in regexp_split_to_array(coalesce(text, ''), '\\s+') if w <> ''] AS ws FROM documents),
+sh AS (SELECT doc_id, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') AS s, count(*) AS c FROM t, LATERAL (SELECT unnest(range(1, greatest(len(ws) - {SHINGLE - 2}, 2))) AS i) WHERE len(ws) > 0 GROUP BY ALL),
+size AS (SELECT doc_id, sum(c) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+edge AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE m >= {SIMILARITY} * (x.n + y.n - m)),
+two AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge),
+reach(id, to_id) AS (SELECT doc_id, doc_id FROM t UNION SELECT id, b FROM reach JOIN two ON a = to_id),
+comp AS (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id),
+cls AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY ws) END AS class_id FROM t)
+SELECT doc_id, class_id, component_id, doc_id = component_id AS kept FROM cls JOIN comp ON id = doc_id
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op2_chat_format": chat.OP2_SQL,
     "op4_embeddings": embeddings.OP4_SQL,
+    "op6_minhash": minhash.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_license_scan": licenses.OP9_SQL,
 }
