@@ -4,7 +4,7 @@ Texts are bytes. Triggers of a rolling hash cut each text into phrases: a positi
 least (the leftmost of equals) of a 100-byte string, so every 100-byte string has one trigger, at a place that its own bytes decide. The
 phrase of a trigger is the run of 100-byte strings that have it. Equal phrases form the dictionary. A phrase that is not the first
 of its kind in corpus order repeats an earlier one in all its 100-byte strings. Where one trigger string has several kinds of
-phrase, which may share some strings, the dictionary's suffixes are brought together: the 100-byte suffixes of the first
+phrase with the same bytes on one side of it, which may share some strings, the dictionary's suffixes are brought together: the 100-byte suffixes of the first
 phrase of each kind, grouped by hash, give the order at depth 100 of which each but the first in the corpus is a repeat. So long
 as equal strings need only be told apart from others, their groups serve for the suffix array's order at that depth.
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +27,8 @@ from . import _util
 from ._hash import mix
 
 LENGTH, GRAM = 100, 32
+#: A 100-byte string that holds a trigger has at least so many bytes of it on one side.
+SIDE = (LENGTH - GRAM) // 2
 #: Bytes hashed at a time.
 CHUNK = 1 << 20
 _SPAN = LENGTH - GRAM + 1
@@ -63,11 +65,12 @@ class Hashed:
 
 
 def phrases(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts that lie end to end: first and last start of the strings of each phrase, hash of its trigger, hash of the phrase."""
+    """Of texts that lie end to end: first and last start of the strings of each phrase, hash of its trigger, hash of the phrase, and 16 bits each of hashes of the trigger with SIDE bytes to its left and to its right."""
     n = len(data)
     none = np.zeros(0, np.int64)
+    nothing = none, none, none.view(np.uint64), none.view(np.uint64), none.astype(np.int32)
     if n < LENGTH:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return nothing
     h = Hashed(data)
     g = mix((h.sums[GRAM:] - h.sums[:-GRAM]) * h.down[: n - GRAM + 1])
     v, a, span = g, np.arange(len(g), dtype=np.int32), 1
@@ -78,12 +81,26 @@ def phrases(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     text = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     at = np.flatnonzero(text[: n - LENGTH + 1] == text[LENGTH - 1 :])
     if not len(at):
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return nothing
     trigger = a[at]
     new = np.flatnonzero(np.r_[True, trigger[1:] != trigger[:-1]])
     first, last, trigger = at[new], at[np.r_[new[1:], len(at)] - 1], trigger[new]
     shape = ((trigger - first) << 8 | (last - first)).astype(np.uint64)
-    return first, last, g[trigger], mix(h(first, last + LENGTH) ^ mix(shape))
+    of = text[trigger]
+    left = h(np.maximum(bounds[of], trigger - SIDE), trigger + GRAM) & np.uint64(0xFFFF)
+    right = h(trigger, np.minimum(bounds[of + 1], trigger + GRAM + SIDE)) & np.uint64(0xFFFF)
+    return first, last, g[trigger], mix(h(first, last + LENGTH) ^ mix(shape)), (left << np.uint64(16) | right).astype(np.uint32).view(np.int32)
+
+
+def repeated_within(which: np.ndarray, first: np.ndarray, last: np.ndarray, trigger: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each phrase repeats an earlier one of its own text, and first and last place of the runs of such phrases."""
+    key = mix(mix(trigger ^ mix(phrase)) + which.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    again = np.zeros(len(key), bool)
+    again[order[1:]] = key[order[1:]] == key[order[:-1]]
+    at = np.flatnonzero(again)
+    new = np.r_[True, (at[1:] != at[:-1] + 1) | (which[at[1:]] != which[at[:-1]]) | (first[at[1:]] != last[at[:-1]] + 1)] if len(at) else np.zeros(0, bool)
+    return again, at[new], at[np.r_[np.flatnonzero(new)[1:], len(at)] - 1] if len(at) else at
 
 
 def _bytes(text: str | None) -> bytes:
@@ -91,18 +108,33 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
-    """trigger, phrase, doc, sub, first, last: the parse of every text."""
+    """trigger, phrase, doc, sub, first, last, sides, settled: the parse of every text."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(ids, subs, parts, like) -> pa.RecordBatch:
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            first, last, trigger, phrase = phrases(np.frombuffer(b"".join(parts), np.uint8), bounds)
+            first, last, trigger, phrase, sides = phrases(np.frombuffer(b"".join(parts), np.uint8), bounds)
             which = np.searchsorted(bounds, first, side="right") - 1
-            start = bounds[which]
+            first, last = first - bounds[which], last - bounds[which]
+            again, begin, end = repeated_within(which, first, last, trigger, phrase)
+            # runs that repeat their own text are settled; they get keys of their own, so that no trigger gathers them
+            own = mix(mix(np.arange(len(begin), dtype=np.uint64) + trigger[begin]) ^ mix(phrase[begin]))
+            zero = np.zeros(len(begin), np.int64)
+            new = ~again
+            which = np.concatenate([which[new], which[begin]])
             return pa.record_batch(
-                [pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(ids, like).take(pa.array(which)), pa.array(np.array(subs, np.int32)[which]), pa.array((first - start).astype(np.int32)), pa.array((last - start).astype(np.int32))],
-                ["trigger", "phrase", "doc", "sub", "first", "last"],
+                [
+                    pa.array(np.concatenate([trigger[new], own]).view(np.int64)),
+                    pa.array(np.concatenate([phrase[new].view(np.int64), zero])),
+                    pa.array(ids, like).take(pa.array(which)),
+                    pa.array(np.array(subs, np.int32)[which]),
+                    pa.array(np.concatenate([first[new], first[begin]]).astype(np.int32)),
+                    pa.array(np.concatenate([last[new], last[end]]).astype(np.int32)),
+                    pa.array(np.concatenate([sides[new], zero.astype(np.int32)])),
+                    pa.array(np.concatenate([np.zeros(new.sum(), bool), zero == 0])),
+                ],
+                ["trigger", "phrase", "doc", "sub", "first", "last", "sides", "settled"],
             )
 
         ids, subs, parts, size = [], [], [], 0
@@ -121,7 +153,7 @@ def _parsed(docs: DataFrame) -> DataFrame:
         if parts:
             yield made(ids, subs, parts, like)
 
-    return docs.mapInArrow(run, f"trigger long, phrase long, doc {kind}, sub int, first int, last int")
+    return docs.mapInArrow(run, f"trigger long, phrase long, doc {kind}, sub int, first int, last int, sides int, settled boolean")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -172,14 +204,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         docs = docs.select("doc", (F.row_number().over(W.partitionBy("doc").orderBy("text")) - 1).alias("sub"), "text")
     kind = docs.schema["doc"].dataType.simpleString()
     order = [F.col("doc").asc_nulls_first(), F.col("sub"), F.col("first")]
-    # one exchange by trigger serves both windows
+    # one exchange by trigger serves all windows
     parsed = _parsed(docs).repartition("trigger")
-    seen = (
-        parsed.withColumn("rank", F.row_number().over(W.partitionBy("trigger", "phrase").orderBy(*order)))
-        .withColumn("several", F.min("phrase").over(W.partitionBy("trigger")) != F.max("phrase").over(W.partitionBy("trigger")))
-        .where("rank > 1 OR several")
-    )
-    seen = _util.materialize(seen.select("trigger", "doc", "sub", "first", "last", F.expr("rank > 1").alias("again")))
+    left, right = F.shiftright("sides", 16), F.col("sides").bitwiseAND(F.lit(0xFFFF))
+
+    def several(side: Column) -> Column:
+        w = W.partitionBy("trigger", side)
+        return F.min("phrase").over(w) != F.max("phrase").over(w)
+
+    # two kinds of phrase that share a string share one side of the trigger
+    seen = parsed.withColumn("rank", F.row_number().over(W.partitionBy("trigger", "phrase").orderBy(*order))).withColumn("l", left).withColumn("r", right)
+    seen = seen.withColumn("several", several(F.col("l")) | several(F.col("r"))).where("settled OR rank > 1 OR several")
+    seen = _util.materialize(seen.select("trigger", "doc", "sub", "first", "last", F.expr("settled OR rank > 1").alias("again")))
     packed = _packed(docs)
     suffixes = _suffixes(seen.where("NOT again"), packed)
     later = suffixes.withColumn("rank", F.row_number().over(W.partitionBy("hash", "trigger").orderBy(F.col("doc").asc_nulls_first(), "sub", "at"))).where("rank > 1")
