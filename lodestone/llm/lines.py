@@ -152,7 +152,9 @@ def fuzzy_lines(docs: DataFrame) -> DataFrame:
         found = packed.join(wanted, "doc_id").select("text", "wanted").mapInArrow(normal, "id long, line string")
         texts = _util.materialize(found.groupBy("id").agg(F.min("line").alias("line")))
         both = pairs.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b").withColumn("n", F.expr("greatest(length(s), length(t))"))
-        return both.withColumn("most", F.expr(f"CAST(floor(n * {1 - SIMILARITY:.6f}D + 1e-9D) AS INT)")).where("levenshtein(s, t, most) BETWEEN 0 AND most").select("a", "b")
+        # the work goes with the bound, and most linked lines are far below it
+        both = both.withColumn("most", F.expr(f"CAST(floor(n * {1 - SIMILARITY:.6f}D + 1e-9D) AS INT)"))
+        return both.where("levenshtein(s, t, CAST(most / 8 AS INT)) >= 0 OR levenshtein(s, t, most) >= 0").select("a", "b")
 
     links = _graph.linked(members, lambda y: f"bit_count(sim ^ {y}sim) <= {BITS}", verify)
     of = _graph.components(links)
