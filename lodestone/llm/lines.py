@@ -1,8 +1,9 @@
 """Operator 8: fuzzy line dedup.
 
-Lines are normalised (words in lower case, without marks at their ends) and equal ones become one class. Classes whose SimHash, of the
-distinct words, differs in at most three of 64 bits agree in two of five blocks at least, so they meet in one of ten joins on two blocks; a pair that
-meets is linked if its edit similarity is high enough. Of each connected group the first occurrence is kept.
+Lines are normalised (words in lower case, without marks at their ends) and equal ones become one class. Classes that may be similar enough share a
+bucket. Of lines of up to SHORT characters all pairs do: a line of n has floor(n / 10) + 1 segments, one of which an edit distance of floor(n / 10)
+leaves whole, near its place. Longer ones share a band of a MinHash of their words, weighted by length, as edits are counted in characters. Pairs that
+meet are linked if their edit similarity is high enough. Of each connected group the first occurrence is kept.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _graph, _util
-from ._hash import Words, mix
+from ._hash import Words, mix, uniform
 
 #: Bits that may differ, blocks of the 64 bits, least edit similarity (1 - distance / length of the longer), least words of a line that can be a copy.
 BITS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 5, 0.9, 5
@@ -35,7 +37,76 @@ def normal_line(line: str) -> str:
     return " ".join(filter(None, map(normal_word, line.split())))
 
 
-_WORDS = Words(normal_word)
+class LineWords(Words):
+    """Words whose hash has the word's length, 63 at most, in its low six bits."""
+
+    def __missing__(self, word: str) -> int:
+        found = super().__missing__(word)
+        if found:
+            found = self[word] = found & ~63 | min(len(self.norm(word)), 63)
+        return found
+
+
+_WORDS = LineWords(normal_word)
+#: Characters up to which all pairs of lines are met; values of a MinHash, and those of each band: whole words that are replaced leave a weighted Jaccard of
+#: 0.9 / 1.1 at least, which shares no band with a probability of about 0.01.
+SHORT, VALUES, ROWS = 59, 96, 8
+BANDS = [range(k, k + ROWS) for k in range(0, VALUES, ROWS)] + [range(k, VALUES, VALUES // ROWS) for k in range(VALUES // ROWS)]
+#: Words whose MinHash is taken at a time.
+CHUNK = 1 << 20
+
+
+def most_edits(n: int) -> int:
+    """Edits that a line of n characters, the longer of two, may have."""
+    return int(n * (1 - SIMILARITY) + 1e-9)
+
+
+def segment_keys(line: str) -> set[int]:
+    """Buckets of a short line: its segments, and what of it may equal a segment of a line as long or longer.
+
+    With the edits of the first segments summed up, the first i at which they are no more than i is a segment without any, with i edits
+    before it and the rest, at most edits - i, behind it; both bound how far it has moved.
+    """
+    m, out = len(line), set()
+    for n in range(m, SHORT + 1):
+        edits = most_edits(n)
+        if n - m > edits:
+            break
+        if not edits:
+            continue
+        at = [n * i // (edits + 1) for i in range(edits + 2)]
+        for i in range(edits + 1):
+            long = at[i + 1] - at[i]
+            for start in range(at[i] + max(-i, m - n - edits + i), at[i] + min(i, m - n + edits - i) + 1):
+                if 0 <= start <= m - long:
+                    out.add(xxhash.xxh3_64_intdigest(f"{n} {i} {line[start : start + long]}".encode("utf-8", "surrogatepass")))
+    return out
+
+
+def band_keys(words: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """A row for each line (line: that of each word, rising; none empty) of a bucket for each band. Words that repeat count as often."""
+    low = np.uint64((1 << 44) - 1)
+    key = np.sort(line.astype(np.uint64) << np.uint64(44) | words & low)
+    new = np.r_[True, key[1:] != key[:-1]]
+    first = np.flatnonzero(new)
+    place = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+    items, of = np.unique((key & low) + (np.minimum(place, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)), return_inverse=True)
+    weight = (items & np.uint64(63)).astype(np.float64)
+    many = np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=lines)
+    starts = np.cumsum(many) - many
+    least = np.empty((VALUES, lines), np.uint64)
+    h = mix(items)
+    for k in range(VALUES):
+        # positive floats order as their bits do
+        value = (-np.log(uniform(mix(h + np.uint64(k)))) / weight).astype(np.float32).view(np.uint32)
+        least[k] = np.minimum.reduceat(value[of], starts)
+    out = np.empty((lines, len(BANDS)), np.uint64)
+    for k, band in enumerate(BANDS):
+        x = np.full(lines, k, np.uint64)
+        for v in band:
+            x = mix(x ^ least[v])
+        out[:, k] = x
+    return out
 
 
 #: Stands for a line feed among words, so that a batch of texts is hashed as one list.
@@ -74,7 +145,7 @@ def class_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, c1, c2 (hash of the normalised line), sim, n_words, n_chars of each line that can be a copy."""
+    """doc_id, line_no, c1, c2 (hash of the normalised line), buckets, n_words, n_chars of each line that can be a copy."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,17 +170,39 @@ def _scanned(docs: DataFrame) -> DataFrame:
             many = long[keep]
             n = len(many)
             starts = np.concatenate([[0], np.cumsum(many)])
-            c1 = c2 = sim = np.zeros(0, np.uint64)
+            c1 = c2 = np.zeros(0, np.uint64)
+            chars = np.zeros(0, np.int64)
+            of, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             if n:
                 c1, c2 = class_hashes(words, starts)
-                cuts = range(0, n, LINES)
-                sim = np.concatenate([simhashes(words[starts[k] : starts[min(n, k + LINES)]], line[starts[k] : starts[min(n, k + LINES)]] - k, min(n, k + LINES) - k) for k in cuts])
+                size = (words & np.uint64(63)).astype(np.int64)
+                chars = np.add.reduceat(size, starts[:-1]) + many - 1
+                ends = np.flatnonzero(feed)
+                begins = np.r_[0, ends[:-1] + 1]
+                ends, begins = ends[keep], begins[keep]
+                for k in np.flatnonzero(np.maximum.reduceat(size, starts[:-1]) == 63):
+                    chars[k] = len(normal_line(" ".join(flat[begins[k] : ends[k]])))
+                for k in np.flatnonzero(chars <= SHORT):
+                    found = segment_keys(normal_line(" ".join(flat[begins[k] : ends[k]])))
+                    of.append(np.full(len(found), k))
+                    keys.append(np.fromiter(found, np.uint64, len(found)))
+                # a longer one of more than SHORT characters may have a shorter one of fewer
+                banded = np.flatnonzero(chars >= SHORT + 1 - most_edits(SHORT + 1))
+                total = np.cumsum(many[banded])
+                for part in np.split(banded, np.flatnonzero(np.diff(total // CHUNK)) + 1):
+                    if len(part):
+                        at = np.repeat(starts[part], many[part]) + np.arange(many[part].sum()) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
+                        of.append(np.repeat(part, len(BANDS)))
+                        keys.append(band_keys(words[at], np.repeat(np.arange(len(part)), many[part]), len(part)).reshape(-1))
+            of, keys = np.concatenate(of), np.concatenate(keys)
+            keys = keys[np.argsort(of, kind="stable")].view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
             yield pa.record_batch(
-                [b.column(0).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(many.astype(np.int32))],
-                ["doc_id", "line_no", "c1", "c2", "sim", "n_words"],
+                [b.column(0).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.array(many.astype(np.int32)), pa.array(chars.astype(np.int32))],
+                ["doc_id", "line_no", "c1", "c2", "buckets", "n_words", "n_chars"],
             )
 
-    return _util.only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, c1 long, c2 long, sim long, n_words int")
+    return _util.only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, c1 long, c2 long, buckets array<long>, n_words int, n_chars int")
 
 
 def fuzzy_lines(docs: DataFrame) -> DataFrame:
@@ -117,17 +210,16 @@ def fuzzy_lines(docs: DataFrame) -> DataFrame:
 
     line_no counts from 0 the parts of a text between line feeds. A line is kept if it is the first of its group by doc_id and
     line_no; rows without doc_id are compared with nothing and keep their lines; lines of several rows with one doc_id count as one document's. Shorter lines are no copies
-    of anything and not listed; a null text has no lines. Lines are linked when their SimHashes differ in at most BITS
-    bits and the edit similarity of the normalised lines is at least SIMILARITY. Equal lines are one class, never paired.
+    of anything and not listed; a null text has no lines. Lines that meet are linked when the edit similarity of the
+    normalised lines is at least SIMILARITY. Equal lines are one class, never paired.
     """
     spark = docs.sparkSession
     _util.small_batches(spark)
     scanned = _util.materialize(_scanned(docs))
-    classes = scanned.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("sim").alias("sim"))
-    classes = _util.materialize(classes.withColumn("id", F.xxhash64("c1", "c2")))
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m))) for k, m in enumerate(KEYS)])
-    met = _util.materialize(_graph.shared_buckets(classes.select("id", F.explode(keys).alias("bucket"))))
-    members = met.join(classes.select("id", "sim"), "id")
+    classes = scanned.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("buckets").alias("buckets"), F.first("n_chars").alias("n"))
+    classes = classes.withColumn("id", F.xxhash64("c1", "c2"))
+    members = _util.materialize(_graph.shared_buckets(_util.materialize(classes.select("id", "n", F.explode("buckets").alias("bucket")))))
+    classes = _util.materialize(classes.drop("buckets", "n"))
     packed = _util.packed(_util.only(docs, "doc_id", "text"))
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +248,7 @@ def fuzzy_lines(docs: DataFrame) -> DataFrame:
         both = both.withColumn("most", F.expr(f"CAST(floor(n * {1 - SIMILARITY:.6f}D + 1e-9D) AS INT)"))
         return both.where("levenshtein(s, t, CAST(most / 8 AS INT)) >= 0 OR levenshtein(s, t, most) >= 0").select("a", "b")
 
-    links = _graph.linked(members, lambda y: f"bit_count(sim ^ {y}sim) <= {BITS}", verify)
+    links = _graph.linked(members, lambda y: f"abs(n - {y}n) <= floor(greatest(n, {y}n) * {1 - SIMILARITY:.6f}D + 1e-9D)", verify)
     of = _graph.components(links)
     groups = classes.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = groups.groupBy("component").agg(F.min("first").alias("first"))
