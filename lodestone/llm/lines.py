@@ -22,7 +22,7 @@ from . import _graph, _util
 from ._hash import Words, mix, uniform
 
 #: Bits that may differ, blocks of the 64 bits, least edit similarity (1 - distance / length of the longer), least words of a line that can be a copy.
-BITS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 5, 0.9, 5
+BITS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 5, 0.9, 1
 _MARKS = " .,;:!?\"'()[]{}<>*#$%&|-_/\\«»„“”’‘…¡¿–—"
 _EDGES = np.linspace(0, 64, BLOCKS + 1).astype(int)
 _BLOCK_MASKS = [(1 << int(b)) - (1 << int(a)) for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
@@ -206,11 +206,11 @@ def _scanned(docs: DataFrame) -> DataFrame:
 
 
 def fuzzy_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, n_words, first_doc_id, first_line_no, kept: the lines of at least MIN_WORDS words, by group.
+    """doc_id, line_no, n_words, first_doc_id, first_line_no, kept: the lines with a word, by group.
 
     line_no counts from 0 the parts of a text between line feeds. A line is kept if it is the first of its group by doc_id and
-    line_no; rows without doc_id are compared with nothing and keep their lines; lines of several rows with one doc_id count as one document's. Shorter lines are no copies
-    of anything and not listed; a null text has no lines. Lines that meet are linked when the edit similarity of the
+    line_no; rows without doc_id are compared with nothing and keep their lines; lines of several rows with one doc_id count as one document's. Lines without a
+    word are not listed; a null text has no lines. Lines that meet are linked when the edit similarity of the
     normalised lines is at least SIMILARITY. Equal lines are one class, never paired.
     """
     spark = docs.sparkSession

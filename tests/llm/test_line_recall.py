@@ -54,3 +54,13 @@ def test_short_lines_meet_exactly():
         b = "".join(b)
         if max(len(a), len(b)) <= lines.SHORT and distance(a, b) <= lines.most_edits(max(len(a), len(b))):
             assert a == b or lines.segment_keys(a) & lines.segment_keys(b)
+
+
+def test_lines_of_few_words(spark):
+    """Every line with a word has a row, and copies of the shortest go."""
+    rows = [(1, "Les.\nAll rights reserved.\n\n. , ;\nOne two"), (2, "les\nall rights reserved\nChapter"), (3, "All rights reservd!\nother")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.kept) for r in lines.fuzzy_lines(df).collect()}
+    alone = {k: (*k, True) for k in [(1, 0), (1, 1), (1, 4), (2, 2), (3, 1)]}
+    assert got == alone | {(2, 0): (1, 0, False), (2, 1): (1, 1, False), (3, 0): (1, 1, False)}
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == {1: rows[0][1], 2: "Chapter", 3: "other"}
