@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scores
+from ..sources.tables import materialize
 
-#: Rows of a bucket up to which it is compared; larger ones are reported by oversized().
+#: Rows of a bucket up to which near_copies() compares it; larger ones are reported by oversized() and compared by near_copies_all().
 BUCKET = 12
 
 
@@ -58,6 +59,48 @@ def near_copies(df: DataFrame, skeleton: list[str], leaves: list[str], key: str,
     return edges.groupBy(*skeleton).applyInPandas(forest, schema)
 
 
+def near_copies_all(df: DataFrame, skeleton: list[str], leaves: list[str], key: str, max_diff: int = 2) -> DataFrame:
+    """near_copies() of buckets of any size, with the same columns and the same forest by difference and keys.
+
+    Rows that differ in at most max_diff leaves agree in one of max_diff + 1 blocks of the leaves at least, so they meet in a join on that
+    block. The forest is Boruvka's: in each round every tree takes its least edge, which is unique as edges are ordered, and no bucket
+    is gathered anywhere; a round at least halves the trees that can grow.
+    """
+    rows = df.select(*skeleton, F.col(key).alias("a"), F.array(*[F.col(c).cast("string") for c in leaves]).alias("_x"))
+    n = len(leaves)
+    cuts = [n * i // (max_diff + 1) for i in range(max_diff + 2)]
+    block = F.array(*[F.struct(F.lit(i).alias("i"), F.to_json(F.slice("_x", p + 1, q - p), {"ignoreNullFields": "false"}).alias("v")) for i, (p, q) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    x = rows.withColumn("_block", F.explode(block))
+    y = x.select(*skeleton, F.col("a").alias("b"), F.col("_x").alias("_y"), "_block")
+    delta = F.size(F.filter(F.zip_with("_x", "_y", lambda p, q: ~p.eqNullSafe(q)), lambda d: d))
+    edges = x.join(y, [*skeleton, "_block"]).where("a < b").withColumn("diffs", delta).where(f"diffs BETWEEN 1 AND {max_diff}")
+    edges = materialize(edges.select(*skeleton, "a", "b", "diffs").distinct())
+    tree = materialize(edges.select(*skeleton, F.col("a").alias("node")).union(edges.select(*skeleton, "b")).distinct().withColumn("root", F.col("node")))
+    kept = edges.limit(0)
+    while True:
+        ends = edges.join(tree.withColumnsRenamed({"node": "a", "root": "_p"}), [*skeleton, "a"]).join(tree.withColumnsRenamed({"node": "b", "root": "_q"}), [*skeleton, "b"]).where("_p <> _q")
+        both = ends.select(*skeleton, "a", "b", "diffs", F.col("_p").alias("root"), F.col("_q").alias("to")).union(ends.select(*skeleton, "a", "b", "diffs", "_q", "_p"))
+        least = materialize(both.groupBy(*skeleton, "root").agg(F.min(F.struct("diffs", "a", "b", "to")).alias("e")))
+        if least.isEmpty():
+            break
+        kept = materialize(kept.unionByName(least.select(*skeleton, "e.a", "e.b", "e.diffs").distinct()))
+        # trees joined by these edges: each follows its edge until the two that took one and the same edge, of which the smaller is the root
+        step = least.select(*skeleton, "root", F.col("e.to").alias("to"))
+        back = step.select(*skeleton, F.col("root").alias("to"), F.col("to").alias("_back"))
+        up = step.join(back, [*skeleton, "to"], "left").select(*skeleton, "root", F.expr("CASE WHEN _back = root AND root < to THEN root ELSE to END").alias("to"))
+        while True:
+            up = materialize(up)
+            ahead = up.select(*skeleton, F.col("root").alias("to"), F.col("to").alias("_next"))
+            moved = up.join(ahead, [*skeleton, "to"]).withColumn("_moved", F.col("_next") != F.col("to"))
+            moved = materialize(moved.select(*skeleton, "root", F.col("_next").alias("to"), "_moved"))
+            up = moved.drop("_moved")
+            if moved.where("_moved").isEmpty():
+                break
+        tree = materialize(tree.join(up, [*skeleton, "root"], "left").select(*skeleton, "node", F.coalesce("to", "root").alias("root")))
+    family = tree.groupBy(*skeleton, "root").agg(F.count("*").cast("int").alias("family"))
+    return kept.join(tree.join(family, [*skeleton, "root"]).select(*skeleton, F.col("node").alias("a"), "family"), [*skeleton, "a"]).select(*skeleton, "a", "b", "diffs", "family")
+
+
 def lean_and_rich(sites: DataFrame, least: float = 0.25) -> DataFrame:
     """Sites of one enum with part of its variants, each against richer kin: enum, lean, missing, best rich, score, more.
 

@@ -1,5 +1,7 @@
 """Operators on small hand-made tables: the cases that are easy to get wrong."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,21 @@ def test_near_copies_compare_nulls_and_skip_large_buckets(spark):
     assert rows(pairs.oversized(df, ["sk"]), "sk", "size") == [("big", 20)]
 
 
+def test_near_copies_of_large_buckets_are_those_of_all_pairs(spark):
+    r = random.Random(3)
+    data = [(k, r.choice(["big", "big", "s", "t"]), *(r.choice([None, *"uvwxyz"]) for _ in range(4))) for k in range(90)]
+    df = spark.createDataFrame(data, "k long, sk string, a string, b string, c string, d string")
+    edges = sorted((sum(p != q for p, q in zip(x[2:], y[2:], strict=True)), x[0], y[0], x[1]) for x in data for y in data if x[0] < y[0] and x[1] == y[1])
+    root, kept = {x[0]: x[0] for x in data}, []
+    for diffs, a, b, sk in edges:
+        if 1 <= diffs <= 2 and root[a] != root[b]:
+            kept.append((sk, a, b, diffs))
+            root = {k: root[a] if v == root[b] else v for k, v in root.items()}
+    want = sorted((*e, list(root.values()).count(root[e[1]])) for e in kept)
+    assert rows(pairs.near_copies_all(df, ["sk"], ["a", "b", "c", "d"], "k"), "sk", "a", "b", "diffs", "family") == want
+    assert sum(e[0] == "big" for e in want) > 12
+
+
 def test_config_drift_abstentions(spark):
     df = spark.createDataFrame([("t", "a", "x", 1), ("t", "a", "y", 1), ("t", None, "y", 2), ("u", "a", None, 1), ("u", "b", None, 1)], "o string, f string, g string, m int")
     got = {r.owner: r for r in drift.config_drift(df, "o", ["f", "g"], F.col("m"), least=0.0).collect()}
