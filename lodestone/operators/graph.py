@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,11 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> D
     return seen
 
 
-def transitively_unused(defns: DataFrame, calls: DataFrame, rounds: int = 16) -> DataFrame:
-    """name, round: definitions that nothing uses, and those used by such alone. calls: caller (null: from outside), target. Ends when a round finds none, or after `rounds`."""
+def transitively_unused(defns: DataFrame, calls: DataFrame, rounds: int | None = 16) -> DataFrame:
+    """name, round: definitions that nothing uses, and those used by such alone. calls: caller (null: from outside), target. Ends when a round finds none, or after `rounds` if given."""
     dead = None
     calls = materialize(calls.select("caller", "target").distinct())
-    for k in range(rounds):
+    for k in itertools.count() if rounds is None else range(rounds):
         live = calls if dead is None else calls.join(dead.select(F.col("name").alias("caller")), "caller", "left_anti")
         found = defns.select("name").join(live.select(F.col("target").alias("name")), "name", "left_anti").distinct()
         found = found if dead is None else found.join(dead, "name", "left_anti")

@@ -483,6 +483,16 @@ def dead_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return graph.transitively_unused(table(spark, sf, "customer").select(F.col("c_custkey").alias("name")), calls, 2)
 
 
+@query()
+def dead_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """G2 to its fixpoint over all orders, with targets spread over all customers. Recursive SQL can't subtract what it has found, so a test has brute force."""
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("name"))
+    calls = table(spark, sf, "orders").crossJoin(F.broadcast(customers.agg(F.count("*").alias("n"))))
+    calls = calls.select(F.expr("CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey END").alias("caller"), F.expr("(CAST(o_custkey AS BIGINT) * o_custkey * o_custkey + 7 * o_custkey + 1) % n").alias("target"))
+    return graph.transitively_unused(customers, calls, None)
+
+
+
 @query("""
 WITH w AS (SELECT list_sort(list(DISTINCT event_type)) AS v, user_id FROM events GROUP BY user_id) SELECT user_id, array_to_string(v, ',') AS kinds FROM w WHERE len(v) = 1 UNION ALL SELECT user_id, NULL FROM w WHERE len(v) > 1""")
 def single_meaning_users(spark: SparkSession, sf: str) -> DataFrame:
