@@ -19,12 +19,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps: each node's larger, then its smaller neighbours are linked with its smallest one, until every
     component is a star around its smallest node. A step is an aggregate and a join; its edges are written to the shared
-    folder, and whether they changed is seen while they are written.
+    folder, and whether they changed is seen while they are written. Those of the step before are deleted.
     """
     pairs = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
-    last = None
+    last = before = None
     while True:
         pairs, seen = _util.materialize_seen(pairs, F.count("*").alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("x"))
+        if before is not None:
+            _util.discard(before)
+        before = pairs
         if seen == last or not seen["n"]:
             break
         last = seen
@@ -44,16 +47,17 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return members.join(buckets, "bucket")
 
 
-def linked(members: DataFrame, alike: Callable[[str], str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """a, b: verified links that connect whatever pairs of one bucket can be linked at all.
+def linked(members: DataFrame, buckets: DataFrame, alike: Callable[[str], str], cell: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """id, component: those of all links between two members of one bucket, for each id that has one; component is the smallest id.
 
-    members: bucket, id, size and what `alike(prefix)` needs; alike gives SQL that must hold for a linked pair of rows, and
-    verify keeps the linked ones of pairs (a, b).
+    members: bucket, id, size and what `alike(prefix)` and `cell` need; buckets: id, and `buckets`, all of its buckets. alike gives SQL
+    that must hold for a linked pair of rows, cell an integer that differs by 1 at most between linked rows, and verify keeps the linked
+    ones of pairs (a, b).
 
-    In each bucket all are compared with the one member that shares most buckets with others, the most central. Two members
+    In each bucket all are compared with the few members that share most buckets with others, the most central. Two members
     then are in one component already, or one of them is outside the bucket's largest component; each such outsider is
-    compared with every member of another component. No pair of a bucket is left out but those in one component, so
-    the components are those of all pairs; the pairs that are made are those of stars and of outsiders.
+    compared with every member of another component in the first of the buckets that both share. No pair of a bucket is
+    left out but those in one component, so the components are those of all pairs.
     """
     central = members.groupBy("id").agg(F.sum("size").alias("_central"))
     w = W.partitionBy("bucket").orderBy(F.desc("_central"), "id")
@@ -61,20 +65,31 @@ def linked(members: DataFrame, alike: Callable[[str], str], verify: Callable[[Da
     heads = members.join(central, "id").withColumn("_rank", F.row_number().over(w)).where(f"_rank <= {LEADERS}")
     values = [c for c in members.columns if c not in ("bucket", "id", "size")]
     heads = _util.materialize(heads.select("bucket", F.col("id").alias("leader"), *[F.col(c).alias(f"y_{c}") for c in values]))
-    members = _util.materialize(members)
     star = members.join(heads, "bucket").where(f"id <> leader AND ({alike('y_')})")
-    pairs = star.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-    links = _util.materialize(verify(_util.materialize(pairs)))
-    of = components(links)
+    pairs = _util.materialize(star.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct())
+    links = _util.materialize(verify(pairs))
+    _util.discard(pairs)
+    of = _util.materialize(components(links))
+    _util.discard(links)
     now = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     main = now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     # what has led its bucket has been compared with all of it
     now = now.join(main, "bucket").join(heads.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
-    now = _util.materialize(now.withColumn("out", F.expr("component <> main")).drop("size", "main"))
-    y = now.select("bucket", *[F.col(c).alias(f"y_{c}") for c in now.columns if c != "bucket"])
-    rest = now.where("out").join(y, "bucket").where(f"component <> y_component AND (NOT y_out OR id < y_id) AND ({alike('y_')})")
-    pairs, seen = _util.materialize_seen(rest.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct(), F.count("*").alias("n"))
+    now = now.join(buckets, "id").select("bucket", "id", *values, "component", "buckets", F.expr(f"CAST({cell} AS INT)").alias("cell"), F.expr("component <> main").alias("out"))
+    now, seen = _util.materialize_seen(now, F.count_if("out").alias("n"))
+    _util.discard(heads)
     if not seen["n"]:
-        return links
+        return of
+    y = now.select("bucket", "cell", *[F.col(c).alias(f"y_{c}") for c in now.columns if c not in ("bucket", "cell")])
+    rest = now.where("out").withColumn("cell", F.explode(F.expr("array(cell - 1, cell, cell + 1)"))).join(y, ["bucket", "cell"])
+    rest = rest.where(f"component <> y_component AND (NOT y_out OR id < y_id) AND ({alike('y_')}) AND array_min(array_intersect(buckets, y_buckets)) = bucket")
+    pairs, seen = _util.materialize_seen(rest.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")), F.count("*").alias("n"))
+    _util.discard(now)
+    if not seen["n"]:
+        return of
     more = _util.materialize(verify(pairs))
-    return links.unionByName(more)
+    # what the outsiders' links join are components already
+    a, b = of.toDF("a", "_a"), of.toDF("b", "_b")
+    merged = _util.materialize(components(more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))).toDF("component", "_merged")
+    ends = more.select(F.col("a").alias("id")).union(more.select("b")).distinct().join(of, "id", "left_anti").select("id", F.col("id").alias("component"))
+    return of.unionByName(ends).join(merged, "component", "left").select("id", F.coalesce("_merged", "component").alias("component"))

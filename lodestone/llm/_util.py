@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,9 +32,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or where it is unset, as in tests, a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, or where it is unset, a temporary one. A cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -68,6 +71,14 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def one_each(docs: DataFrame) -> DataFrame:
+    """docs with rows that repeat a doc_id and its text taken as one row, any of them. Rows without doc_id stay."""
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
+    if again.isEmpty():
+        return docs
+    return materialize(docs.where("doc_id IS NULL").unionByName(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])))
+
+
 def packed(texts: DataFrame) -> DataFrame:
     """doc_id, text compressed, for the way to the documents it is compared with."""
     kind = texts.schema["doc_id"].dataType.simpleString()

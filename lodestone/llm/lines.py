@@ -1,15 +1,18 @@
 """Operator 8: fuzzy line dedup.
 
-Lines are normalised (words in lower case, without marks at their ends) and equal ones become one class. Classes that may be similar enough share a
-bucket. Of lines of up to SHORT characters all pairs do: a line of n has floor(n / 10) + 1 segments, one of which an edit distance of floor(n / 10)
-leaves whole, near its place. Longer ones share a band of a MinHash of their words, weighted by length, as edits are counted in characters. Pairs that
-meet are linked if their edit similarity is high enough. Of each connected group the first occurrence is kept.
+Lines are normalised (words in lower case, without marks at their ends) and equal ones become one class. Pigeonholes bring classes together that may be
+similar enough. Of lines of up to SHORT characters all pairs are met: a line of n has floor(n / 10) + 1 segments, one of which an edit distance of
+floor(n / 10) leaves whole, near its place. Longer ones meet by the KEYS windows of a few words whose hashes are the least; changed places leave the
+windows between them whole. Pairs that meet are linked if their edit similarity is high enough. Of each connected group the first occurrence is kept.
+
+Blocks of a SimHash of 64 bits can't serve here: a tenth of a line's characters changed turns about nine bits, for which blocks would be of six
+bits and meet one pair of all lines in 64; three bits, which blocks afford, find one in ten of such pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _graph, _util
-from ._hash import Words, mix, uniform
+from ._hash import Words, mix
 
-#: Bits that may differ, blocks of the 64 bits, least edit similarity (1 - distance / length of the longer), least words of a line that can be a copy.
-BITS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 5, 0.9, 1
+#: Least edit similarity (1 - distance / length of the longer).
+SIMILARITY = 0.9
 _MARKS = " .,;:!?\"'()[]{}<>*#$%&|-_/\\«»„“”’‘…¡¿–—"
-_EDGES = np.linspace(0, 64, BLOCKS + 1).astype(int)
-_BLOCK_MASKS = [(1 << int(b)) - (1 << int(a)) for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
-KEYS = [sum(_BLOCK_MASKS[i] for i in c) for c in combinations(range(BLOCKS), BLOCKS - BITS)]
 
 
 def normal_word(word: str) -> str:
@@ -48,12 +48,11 @@ class LineWords(Words):
 
 
 _WORDS = LineWords(normal_word)
-#: Characters up to which all pairs of lines are met; values of a MinHash, and those of each band: whole words that are replaced leave a weighted Jaccard of
-#: 0.9 / 1.1 at least, which shares no band with a probability of about 0.01.
-SHORT, VALUES, ROWS = 59, 96, 8
-BANDS = [range(k, k + ROWS) for k in range(0, VALUES, ROWS)] + [range(k, VALUES, VALUES // ROWS) for k in range(VALUES // ROWS)]
-#: Words whose MinHash is taken at a time.
-CHUNK = 1 << 20
+#: Characters up to which all pairs of lines are met; windows by which a longer line is met; most words of a window; characters of the windows of lines of few words.
+SHORT, KEYS, WINDOW, GRAM = 39, 8, 4, 8
+#: Words from which on all windows have WINDOW words and any two changed words leave one of them whole; words up to which windows of characters are taken too.
+LONG, FEW = 3 * WINDOW + 2, 6
+_MUL = [mix(np.uint64([k]))[0] | np.uint64(1) for k in range(1, 1 + max(WINDOW, GRAM))]
 
 
 def most_edits(n: int) -> int:
@@ -83,59 +82,61 @@ def segment_keys(line: str) -> set[int]:
     return out
 
 
-def band_keys(words: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
-    """A row for each line (line: that of each word, rising; none empty) of a bucket for each band. Words that repeat count as often."""
-    low = np.uint64((1 << 44) - 1)
-    key = np.sort(line.astype(np.uint64) << np.uint64(44) | words & low)
-    new = np.r_[True, key[1:] != key[:-1]]
-    first = np.flatnonzero(new)
-    place = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
-    items, of = np.unique((key & low) + (np.minimum(place, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)), return_inverse=True)
-    weight = (items & np.uint64(63)).astype(np.float64)
-    many = np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=lines)
-    starts = np.cumsum(many) - many
-    least = np.empty((VALUES, lines), np.uint64)
-    h = mix(items)
-    for k in range(VALUES):
-        # positive floats order as their bits do
-        value = (-np.log(uniform(mix(h + np.uint64(k)))) / weight).astype(np.float32).view(np.uint32)
-        least[k] = np.minimum.reduceat(value[of], starts)
-    out = np.empty((lines, len(BANDS)), np.uint64)
-    for k, band in enumerate(BANDS):
-        x = np.full(lines, k, np.uint64)
-        for v in band:
-            x = mix(x ^ least[v])
-        out[:, k] = x
-    return out
+def window_sizes(words: int) -> set[int]:
+    """Words of a line's windows: a third of its words, WINDOW at most, and what lines of a word more or less have."""
+    return {max(1, min(WINDOW, n // 3)) for n in (words - 1, words, words + 1)}
+
+
+_SIZES = np.array([[size in window_sizes(n) for n in range(LONG + 1)] for size in range(1, WINDOW + 1)])
+
+
+def least_keys(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The KEYS least distinct keys of each line (of), in order of line and key."""
+    order = np.lexsort((key, of))
+    key, of = key[order], of[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])] if len(key) else np.zeros(0, bool)
+    key, of = key[new], of[new]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    rank = np.arange(len(of)) - np.repeat(first, np.diff(np.r_[first, len(of)]))
+    return key[rank < KEYS], of[rank < KEYS]
+
+
+def window_keys(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their lines, from word hashes of lines that lie end to end (starts: their bounds; none empty)."""
+    many = np.diff(starts)
+    line = np.repeat(np.arange(len(many)), many)
+    left = starts[line + 1] - np.arange(len(words))
+    short = np.minimum(many, LONG)
+    # of many windows, those that can hardly be among the least are not sorted
+    bound = np.where(many > 4 * KEYS, np.float64(2**64) * 3 * KEYS / np.maximum(many, 1), np.float64(2**64)).clip(0, 2**64 - 2048).astype(np.uint64)
+    keys, of = [], []
+    h = np.zeros(len(words), np.uint64)
+    for size in range(1, WINDOW + 1):
+        h[: len(words) - size + 1] += words[size - 1 :] * _MUL[size - 1]
+        at = np.flatnonzero((left >= size) & _SIZES[size - 1, short[line]])
+        key = mix(h[at] ^ np.uint64(size))
+        on = key <= bound[line[at]]
+        if size == WINDOW:
+            few = (np.bincount(line[at[on]], minlength=len(many)) < KEYS) & (many > 4 * KEYS)
+            on |= few[line[at]]
+        keys.append(key[on])
+        of.append(line[at[on]])
+    return least_keys(np.concatenate(keys), np.concatenate(of))
+
+
+def gram_keys(line: str) -> np.ndarray:
+    """Keys of a line of few words: the least of its windows of GRAM characters."""
+    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < GRAM:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(len(c) - GRAM + 1, np.uint64)
+    for k in range(GRAM):
+        h += mix(c[k : len(c) - GRAM + 1 + k]) * _MUL[k]
+    return np.unique(mix(~h))[:KEYS]
 
 
 #: Stands for a line feed among words, so that a batch of texts is hashed as one list.
 _FEED = "\ue0ff"
-_LANES = np.uint64(0x0101010101010101)
-#: Lines hashed at a time.
-LINES = 1 << 19
-
-
-def simhashes(words: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
-    """SimHash of the distinct words of each line (line: that of each word, rising; none empty): a bit is that of most words; a tie gives 0."""
-    low = np.uint64((1 << 44) - 1)
-    key = np.sort(line.astype(np.uint64) << np.uint64(44) | words & low)
-    key = key[np.r_[True, key[1:] != key[:-1]]]
-    of = (key >> np.uint64(44)).astype(np.int64)
-    h = mix(key & low)
-    many = np.bincount(of, minlength=lines)
-    start = np.cumsum(many) - many
-    # one bit of each byte at a time, added in the bytes' lanes, for which no run may pass 255 words
-    parts = (many + 254) // 255
-    part_of = np.repeat(np.arange(lines), parts)
-    part = start[part_of] + 255 * (np.arange(len(part_of)) - np.repeat(np.cumsum(parts) - parts, parts))
-    first = np.cumsum(parts) - parts
-    out = np.zeros((lines, 8), np.uint8)
-    for j in range(8):
-        lanes = np.add.reduceat((h >> np.uint64(j)) & _LANES, part)
-        ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int32), first, axis=0)
-        out |= (ones * 2 > many[:, None]).astype(np.uint8) << np.uint8(j)
-    return out.view(np.uint64).reshape(-1)
 
 
 def class_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +145,19 @@ def class_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return np.add.reduceat(mix(words ^ mix(place)), starts[:-1]), np.add.reduceat(mix(mix(words + place)), starts[:-1])
 
 
+def _clean(text: str | None) -> str:
+    return (text or "").replace(_FEED, "\ufffd")
+
+
 def _scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, c1, c2 (hash of the normalised line), buckets, n_words, n_chars of each line that can be a copy."""
+    """doc_id, h, line_no, c1, c2 (hash of the normalised line), buckets, n_words, n_chars of each line with a word of docs(doc_id, text, h)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, many = [], []
             for text in b.column(1).to_pylist():
-                text = (text or "").replace(_FEED, "\ufffd")
+                text = _clean(text)
                 many.append(text.count("\n") + 1)
                 flat += text.replace("\n", f" {_FEED} ").split()
                 flat.append(_FEED)
@@ -163,7 +168,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
             line, words = line[on], raw[on]
             lines = sum(many)
             long = np.bincount(line, minlength=lines)
-            keep = long >= MIN_WORDS
+            keep = long > 0
             words, line = words[keep[line]], (np.cumsum(keep) - 1)[line[keep[line]]]
             doc = np.repeat(np.arange(len(many)), many)[keep]
             number = (np.arange(lines) - np.repeat(np.cumsum(many) - many, many).astype(np.int64))[keep] if lines else np.zeros(0, np.int64)
@@ -187,84 +192,108 @@ def _scanned(docs: DataFrame) -> DataFrame:
                     of.append(np.full(len(found), k))
                     keys.append(np.fromiter(found, np.uint64, len(found)))
                 # a longer one of more than SHORT characters may have a shorter one of fewer
-                banded = np.flatnonzero(chars >= SHORT + 1 - most_edits(SHORT + 1))
-                total = np.cumsum(many[banded])
-                for part in np.split(banded, np.flatnonzero(np.diff(total // CHUNK)) + 1):
-                    if len(part):
-                        at = np.repeat(starts[part], many[part]) + np.arange(many[part].sum()) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
-                        of.append(np.repeat(part, len(BANDS)))
-                        keys.append(band_keys(words[at], np.repeat(np.arange(len(part)), many[part]), len(part)).reshape(-1))
+                on = chars >= SHORT + 1 - most_edits(SHORT + 1)
+                for k in np.flatnonzero(on & (many <= FEW)):
+                    found = gram_keys(normal_line(" ".join(flat[begins[k] : ends[k]])))
+                    of.append(np.full(len(found), k))
+                    keys.append(found)
+                on = np.flatnonzero(on)
+                if len(on):
+                    at = np.repeat(starts[on] - np.cumsum(many[on]) + many[on], many[on]) + np.arange(many[on].sum())
+                    found, line = window_keys(words[at], np.concatenate([[0], np.cumsum(many[on])]))
+                    of.append(on[line])
+                    keys.append(found)
             of, keys = np.concatenate(of), np.concatenate(keys)
             keys = keys[np.argsort(of, kind="stable")].view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
             yield pa.record_batch(
-                [b.column(0).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.array(many.astype(np.int32)), pa.array(chars.astype(np.int32))],
-                ["doc_id", "line_no", "c1", "c2", "buckets", "n_words", "n_chars"],
+                [b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.array(many.astype(np.int32)), pa.array(chars.astype(np.int32))],
+                ["doc_id", "h", "line_no", "c1", "c2", "buckets", "n_words", "n_chars"],
             )
 
-    return _util.only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, c1 long, c2 long, buckets array<long>, n_words int, n_chars int")
+    return docs.mapInArrow(run, f"doc_id {kind}, h long, line_no int, c1 long, c2 long, buckets array<long>, n_words int, n_chars int")
 
 
-def fuzzy_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, n_words, first_doc_id, first_line_no, kept: the lines with a word, by group.
-
-    line_no counts from 0 the parts of a text between line feeds. A line is kept if it is the first of its group by doc_id and
-    line_no; rows without doc_id are compared with nothing and keep their lines; lines of several rows with one doc_id count as one document's. Lines without a
-    word are not listed; a null text has no lines. Lines that meet are linked when the edit similarity of the
-    normalised lines is at least SIMILARITY. Equal lines are one class, never paired.
-    """
-    spark = docs.sparkSession
-    _util.small_batches(spark)
-    scanned = _util.materialize(_scanned(docs))
-    classes = scanned.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("buckets").alias("buckets"), F.first("n_chars").alias("n"))
-    classes = classes.withColumn("id", F.xxhash64("c1", "c2"))
-    members = _util.materialize(_graph.shared_buckets(_util.materialize(classes.select("id", "n", F.explode("buckets").alias("bucket")))))
-    classes = _util.materialize(classes.drop("buckets", "n"))
-    packed = _util.packed(_util.only(docs, "doc_id", "text"))
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, line, letters: the normalised lines of wanted(id, c1, c2, doc_id, line_no), and how often each of 32 kinds of letter is in them."""
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("id", "c1", "c2", "line_no")).alias("wanted"))
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            ids, lines = [], []
+            ids, lines, letters = [], [], []
             for text, wanted in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                split = z.decompress(text.as_py()).decode("utf-8", "surrogatepass").split("\n")
+                split = _clean(z.decompress(text.as_py()).decode("utf-8", "surrogatepass")).split("\n")
                 for w in wanted:
                     line = split[w["line_no"]] if w["line_no"] < len(split) else ""
                     words = _WORDS.array(line.split())
                     words = words[words != 0]
                     # another row of the same doc_id may have another line here
-                    if len(words) and class_hashes(words, np.array([0, len(words)]))[0].view(np.int64)[0] == w["c1"]:
-                        ids.append(w["id"])
-                        lines.append(normal_line(line))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
+                    if len(words):
+                        c1, c2 = class_hashes(words, np.array([0, len(words)]))
+                        if (c1.view(np.int64)[0], c2.view(np.int64)[0]) == (w["c1"], w["c2"]):
+                            ids.append(w["id"])
+                            lines.append(normal_line(line))
+                            letters.append(np.bincount(np.frombuffer(lines[-1].encode("utf-32-le", "surrogatepass"), np.uint32) & 31, minlength=32).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * 32), pa.array(np.concatenate([np.zeros(0, np.int32), *letters])))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.string()), lists], ["id", "line", "letters"])
+
+    found = _util.packed(_util.only(docs, "doc_id", "text")).join(by_doc, "doc_id").select("text", "wanted").mapInArrow(normal, "id long, line string, letters array<int>")
+    return found.dropDuplicates(["id"])
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """What fuzzy_lines() returns, with h, the hash of the row's text."""
+    spark = docs.sparkSession
+    _util.small_batches(spark)
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    scanned = _util.materialize(_scanned(docs).withColumn("rid", F.monotonically_increasing_id()))
+    classes = scanned.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no", "rid")).alias("first"), F.first("buckets").alias("buckets"), F.first("n_chars").alias("n"))
+    classes = _util.materialize(classes.withColumn("id", F.monotonically_increasing_id()))
+    members = _util.materialize(_graph.shared_buckets(classes.select("id", "n", F.explode("buckets").alias("bucket"))))
+    wanted = classes.join(members.select("id").distinct(), "id").select("id", "c1", "c2", "first.doc_id", "first.line_no")
+    texts = _util.materialize(_texts(docs, wanted))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = ids.join(classes, "id").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("id", "c1", F.col("first.line_no").alias("line_no"))).alias("wanted"))
-        found = packed.join(wanted, "doc_id").select("text", "wanted").mapInArrow(normal, "id long, line string")
-        texts = _util.materialize(found.groupBy("id").agg(F.min("line").alias("line")))
-        both = pairs.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b").withColumn("n", F.expr("greatest(length(s), length(t))"))
-        # the work goes with the bound, and most linked lines are far below it
+        s, t = (texts.select(F.col("id").alias(x), F.col("line").alias(y), F.col("letters").alias(f"l{y}")) for x, y in (("a", "s"), ("b", "t")))
+        both = pairs.join(s, "a").join(t, "b").withColumn("n", F.expr("greatest(length(s), length(t))"))
         both = both.withColumn("most", F.expr(f"CAST(floor(n * {1 - SIMILARITY:.6f}D + 1e-9D) AS INT)"))
+        # an edit takes one letter away at most, and adds one at most
+        both = both.where("aggregate(zip_with(ls, lt, (x, y) -> greatest(x - y, 0)), 0, (x, y) -> x + y) <= most AND aggregate(zip_with(ls, lt, (x, y) -> greatest(y - x, 0)), 0, (x, y) -> x + y) <= most")
+        # the work goes with the bound, and most linked lines are far below it
         return both.where("levenshtein(s, t, CAST(most / 8 AS INT)) >= 0 OR levenshtein(s, t, most) >= 0").select("a", "b")
 
-    links = _graph.linked(members, lambda y: f"abs(n - {y}n) <= floor(greatest(n, {y}n) * {1 - SIMILARITY:.6f}D + 1e-9D)", verify)
-    of = _graph.components(links)
-    groups = classes.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = _graph.linked(members, classes.select("id", "buckets"), lambda y: f"abs(n - {y}n) <= floor(greatest(n, {y}n) * {1 - SIMILARITY:.6f}D + 1e-9D)", f"floor(ln(n) / {-math.log(SIMILARITY - 1e-4)!r}D)", verify)
+    groups = classes.select("id", "c1", "c2", "first").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = groups.groupBy("component").agg(F.min("first").alias("first"))
-    named = groups.select("c1", "c2", "component").join(first, "component").select("c1", "c2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
-    out = scanned.select("doc_id", "line_no", "c1", "c2", "n_words").join(named, ["c1", "c2"], "left")
-    out = out.selectExpr("doc_id", "line_no", "n_words", *[f"CASE WHEN doc_id IS NOT NULL THEN {c} END AS {c}" for c in ("first_doc_id", "first_line_no")])
-    return out.withColumn("kept", F.expr("doc_id IS NULL OR (doc_id = first_doc_id AND line_no = first_line_no)"))
+    named = groups.select("c1", "c2", "component").join(first, "component").select("c1", "c2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), F.col("first.rid").alias("_rid"))
+    out = scanned.drop("buckets", "n_chars").join(named, ["c1", "c2"], "left")
+    return out.selectExpr("doc_id", "h", "line_no", "n_words", *[f"CASE WHEN doc_id IS NOT NULL THEN {c} END AS {c}" for c in ("first_doc_id", "first_line_no")], "doc_id IS NULL OR rid = _rid AS kept")
+
+
+def fuzzy_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, n_words, first_doc_id, first_line_no, kept: the lines with a word, by group.
+
+    line_no counts from 0 the parts of a text between line feeds. Of each group one line is kept, the first by doc_id and
+    line_no, of one row only where rows repeat a doc_id. Rows without doc_id are compared with nothing and keep their lines. Lines without a
+    word are not listed; a null text has no lines. Lines that meet are linked when the edit similarity of the
+    normalised lines is at least SIMILARITY. Equal lines are one class, never paired.
+    """
+    return _grouped(docs).drop("h")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs without the lines that fuzzy_lines() does not keep; a text that loses lines is joined anew by line feeds. Texts of which nothing but white space is left lose their row; texts that lost nothing stay as they are."""
-    gone = fuzzy_lines(docs).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, "doc_id", "left")
-    left = F.expr("array_join(transform(array_except(sequence(0, size(split(text, '\n')) - 1), _gone), i -> get(split(text, '\n'), i)), '\n')")
-    left = F.expr("element_at(transform(array(split(text, '\n')), _l -> array_join(transform(array_except(sequence(0, size(_l) - 1), _gone), i -> get(_l, i)), '\n')), 1)")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).where("_gone IS NULL OR text RLIKE '[^ \\t-\\r]'").select(*docs.columns)
+    """docs without the lines that fuzzy_lines() does not keep; a text that loses lines is joined anew by line feeds.
+
+    Texts of which nothing but white space is left lose their row; texts that lost nothing stay as they are. Rows that repeat a doc_id and its text are one
+    row; rows of one doc_id with different texts each lose their own lines only.
+    """
+    docs = _util.one_each(docs)
+    gone = _grouped(docs).where("NOT kept").groupBy("doc_id", "h").agg(F.collect_list("line_no").alias("gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    left = F.expr("element_at(transform(array(split(row.text, '\n', -1)), _l -> array_join(transform(array_except(sequence(0, size(_l) - 1), gone), i -> get(_l, i)), '\n')), 1)")
+    joined = rows.join(gone, ["doc_id", "h"], "left").withColumn("row", F.when(F.col("gone").isNull(), F.col("row")).otherwise(F.col("row").withField("text", left)))
+    return joined.where("gone IS NULL OR row.text RLIKE '[^ \\t-\\r]'").select("row.*")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,11 +14,11 @@ def typo(r, text):
 
 
 def pairs():
-    """Lines of 6 to 120 words, each with copies of one word replaced, a typo, or several words replaced, that have edit similarity 0.9."""
+    """Lines of 4 to 120 words, each with copies of one word replaced, a typo, or several words replaced, that have edit similarity 0.9."""
     r = random.Random(5)
     vocabulary = ["".join(r.choices(string.ascii_lowercase, k=r.randint(2, 9))) for _ in range(4000)]
     out = []
-    for n in [6, 7, 8, 10, 12, 15, 20, 25, 30] * 14 + [60] * 6 + [120] * 2:
+    for n in [4, 5] * 60 + [6, 7, 8, 10, 12, 15, 20, 25, 30] * 14 + [60] * 6 + [120] * 2:
         words = r.choices(vocabulary, k=n)
         base = " ".join(words)
         for change in (1, 0, max(1, n // 14)):

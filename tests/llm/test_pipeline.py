@@ -33,11 +33,11 @@ def test_stages(spark, sf):
     assert sorted(r["doc_id"] for r in after) == sorted(want) and len(want) < len(before)
     before, after = out["line dedup"]
     first = brute_lines([(r["doc_id"], r["text"]) for r in before])
-    from lodestone.llm.lines import MIN_WORDS, normal_line
+    from lodestone.llm.lines import normal_line
 
     texts = {}
     for r in before:
-        kept = [x for k, x in enumerate(r["text"].split("\n")) if len(normal_line(x).split()) < MIN_WORDS or first[normal_line(x)] == (r["doc_id"], k)]
+        kept = [x for k, x in enumerate(r["text"].split("\n")) if not normal_line(x) or first[normal_line(x)] == (r["doc_id"], k)]
         if len(kept) == len(r["text"].split("\n")) or "".join(kept).strip():
             texts[r["doc_id"]] = "\n".join(kept)
     assert {r["doc_id"]: r["text"] for r in after} == texts
