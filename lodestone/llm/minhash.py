@@ -136,8 +136,13 @@ def layers_of(text: str) -> np.ndarray:
     return np.sort(layered(*shingles(words, starts))[0])
 
 
+def _word_hash(joined: list[str]) -> np.ndarray:
+    """Both halves of a hash of each text's words in order."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(j.encode("utf-8", "surrogatepass")) for j in joined), np.int64).reshape(-1, 2)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """id, c1, c2 (hash of the words in order), weight (number of shingles), bands."""
+    """id, h, c1, c2 (hash of the words in order), weight (number of shingles), bands, sketch, level of each row of docs(doc_id, text, h)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,41 +150,50 @@ def _signed(docs: DataFrame) -> DataFrame:
             words, starts, joined = _flat([t or "" for t in b.column(1).to_pylist()])
             h, doc = layered(*shingles(words, starts))
             made = bands(signatures(h, doc, len(joined), BANDS * BAND_ROWS))
-            c = np.frombuffer(b"".join(xxhash.xxh3_128_digest(j.encode("utf-8", "surrogatepass")) for j in joined), np.int64).reshape(-1, 2)
+            c = _word_hash(joined)
             weight = np.bincount(doc, minlength=len(joined))
             sketch, level = sketches(h, doc, len(joined))
 
             def lists(x: np.ndarray) -> pa.Array:
                 return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).reshape(-1)))
 
-            yield pa.record_batch([b.column(0), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(weight.astype(np.int64)), lists(made), lists(sketch), pa.array(level)], ["id", "c1", "c2", "weight", "bands", "sketch", "level"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(weight.astype(np.int64)), lists(made), lists(sketch), pa.array(level)], ["id", "h", "c1", "c2", "weight", "bands", "sketch", "level"])
 
-    return _util.only(docs, "doc_id", "text").mapInArrow(run, f"id {kind}, c1 long, c2 long, weight long, bands array<long>, sketch array<long>, level int")
+    return docs.mapInArrow(run, f"id {kind}, h long, c1 long, c2 long, weight long, bands array<long>, sketch array<long>, level int")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, component_id, kept: one row for each row of docs(doc_id, text, ...).
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, text (compressed): a text of each class of wanted(id, doc_id, c1, c2)."""
 
-    class_id: the smallest doc_id of the same words in the same order; component_id: the smallest doc_id reachable by links, and
-    kept is whether that is the document itself. Documents are linked if the multisets of their five-word shingles have a
-    Jaccard similarity of at least the threshold. Texts without a word, null ones too, are linked with nothing; so are rows
-    without doc_id. Rows of one doc_id share its fate. Copies are one class, whatever their number, and never paired.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            # a doc_id may have rows with other texts
+            found = _word_hash([" ".join(z.decompress(t.as_py()).decode("utf-8", "surrogatepass").split()) for t in b.column(3)])
+            own = (found[:, 0] == b.column(1).to_numpy()) & (found[:, 1] == b.column(2).to_numpy()) if len(b) else np.zeros(0, bool)
+            kept = b.filter(pa.array(own))
+            yield pa.record_batch([kept.column(0), kept.column(3)], ["id", "text"])
+
+    joined = _util.packed(docs.select("doc_id", "text")).join(wanted, "doc_id").select("id", "c1", "c2", "text")
+    return joined.mapInArrow(run, "id long, text binary").dropDuplicates(["id"])
+
+
+def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
+    """What near_duplicates() returns, with h, the hash of the row's text."""
     _util.small_batches(docs.sparkSession)
-    docs = _util.only(docs, "doc_id", "text")
-    signed = _util.materialize(_signed(docs))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    signed = _util.materialize(_signed(docs).withColumn("rid", F.monotonically_increasing_id()))
     first = [F.first(c).alias(c) for c in ("weight", "bands", "sketch", "level")]
-    classes = signed.where("weight > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("id"), *first)
+    classes = signed.where("weight > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("id", "rid")).alias("first"), *first)
+    # classes have ids of their own, as a doc_id may have rows with different texts
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "first", "weight", F.expr("transform(bands, (b, k) -> xxhash64(k, b))").alias("buckets"), "sketch", "level")
     classes = _util.materialize(classes)
-    rows = classes.select("id", F.posexplode("bands").alias("_k", "_band")).select(F.xxhash64("_k", "_band").alias("bucket"), "id")
-    met = _util.materialize(_graph.shared_buckets(rows))
-    wanted = met.select("id").distinct()
+    met = _util.materialize(_graph.shared_buckets(classes.select("id", F.explode("buckets").alias("bucket"))))
+    wanted = met.select("id").distinct().join(classes, "id").select("id", F.col("first.id").alias("doc_id"), "c1", "c2")
     members = met.join(classes.select("id", "weight", "sketch", "level"), "id")
-    texts = _util.materialize(_util.packed(docs).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = _util.materialize(_texts(docs, wanted))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        kind = pairs.schema["a"].dataType.simpleString()
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             z = zstandard.ZstdDecompressor()
             last, mine = None, None
@@ -192,14 +206,36 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
                 kept = batch.filter(pa.array(keep, pa.bool_()))
                 yield pa.record_batch([kept.column(0), kept.column(1)], ["a", "b"])
 
-        with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
-        return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").select("a", "b", "s", "t").mapInArrow(run, f"a {kind}, b {kind}")
+        with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
+        return with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
-    links = _graph.linked(members, lambda y: may_reach(threshold, y), verify)
-    of = classes.select("c1", "c2", F.col("id").alias("class_id")).join(_graph.components(links).withColumnRenamed("id", "class_id"), "class_id", "left")
-    out = signed.select("id", "c1", "c2", "weight").join(of, ["c1", "c2"], "left")
+    cell = f"floor(ln(weight) / {-math.log(threshold - 1e-4)!r}D)"
+    of = _graph.linked(members, classes.select("id", "buckets"), lambda y: may_reach(threshold, y), cell, verify)
+    groups = classes.select("id", "c1", "c2", "first").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = groups.groupBy("component").agg(F.min("first").alias("head"))
+    named = groups.join(heads, "component").select("c1", "c2", F.col("first.id").alias("class_id"), F.col("head.id").alias("component_id"), F.col("head.rid").alias("_rid"))
+    out = signed.select("id", "h", "rid", "c1", "c2", "weight").join(named, ["c1", "c2"], "left")
     alone = "weight = 0 OR id IS NULL"
-    return out.selectExpr("id AS doc_id", f"CASE WHEN {alone} THEN id ELSE class_id END AS class_id", f"CASE WHEN {alone} THEN id ELSE coalesce(component, class_id) END AS component_id").withColumn("kept", F.expr("doc_id IS NULL OR doc_id = component_id"))
+    return out.selectExpr("id AS doc_id", "h", *[f"CASE WHEN {alone} THEN id ELSE {c} END AS {c}" for c in ("class_id", "component_id")], f"{alone} OR rid = _rid AS kept")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, component_id, kept: one row for each row of docs(doc_id, text, ...).
+
+    class_id: the smallest doc_id of the same words in the same order; component_id: the smallest doc_id reachable by links, and
+    kept is whether that is the row itself; where rows repeat a doc_id, one of a group is kept. Documents are linked if the multisets of their five-word shingles have a
+    Jaccard similarity of at least the threshold. Texts without a word, null ones too, are linked with nothing; so are rows
+    without doc_id. Copies are one class, whatever their number, and never paired.
+    """
+    return _grouped(docs, threshold).drop("h")
+
+
+def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near_duplicates(). Rows that repeat a doc_id and its text are one row; rows of one doc_id with different texts each have their own fate."""
+    docs = _util.one_each(docs)
+    gone = _grouped(docs, threshold).where("NOT kept").select("doc_id", "h").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    return rows.join(gone, ["doc_id", "h"], "left_anti").select("row.*")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
