@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _util
+from ._hash import mix
 
 #: Members of a bucket that all others are compared with first.
 LEADERS = 4
+#: Entries of buckets that a task holds at a time, about.
+ENTRIES = 1 << 21
+#: Kinds of entry: the one of its bucket in a task, with no other id there or with some, and such another.
+_ALONE, _HAS_MATES, _MATE = 0, 1, 2
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,10 +48,71 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("v").alias("id"), F.col("u").alias("component")).union(pairs.select(F.col("u").alias("id"), F.col("u").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 
-def shared_buckets(members: DataFrame) -> DataFrame:
-    """The rows of members(bucket, id, ...) whose bucket has several ids, with their number `size`. A bucket is counted, never gathered."""
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    return members.join(buckets, "bucket")
+def _dealt(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (id, buckets): for each part of the buckets, packed, one entry of each bucket met in this task, and apart from it the bucket's further ids here, which need no meeting."""
+
+    def flush(ids: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, own = np.concatenate(keys), np.concatenate(ids)
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], own[order]
+        first = np.r_[True, key[1:] != key[:-1]]
+        kind = np.where(first, np.where(np.r_[~first[1:], False], _HAS_MATES, _ALONE), _MATE).astype(np.uint8)
+        # further ids of a bucket are spread, so that a hot one is in no single place
+        part = (mix(np.where(first, key, key ^ mix(own.view(np.uint64)))) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, key, own, kind = part[order], key[order], own[order], kind[order]
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        blobs = [key[i:j].tobytes() + own[i:j].tobytes() + kind[i:j].tobytes() for i, j in zip(starts, np.r_[starts[1:], len(part)], strict=True)]
+        return pa.record_batch([pa.array(part[starts]), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, size = [], [], 0
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            keys.append(flat)
+            ids.append(np.repeat(b.column(0).to_numpy(), lists.value_lengths().to_numpy()))
+            size += len(flat)
+            if size > ENTRIES:
+                yield flush(ids, keys)
+                ids, keys, size = [], [], 0
+        if size:
+            yield flush(ids, keys)
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, id of the entries of whole parts whose bucket has several ids."""
+    found = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for b in batches:
+        for blob in b.column(0):
+            data = blob.as_buffer()
+            n = data.size // 17
+            for out, kind, at in zip(found, (np.uint64, np.int64, np.uint8), (0, 8 * n, 16 * n), strict=True):
+                out.append(np.frombuffer(data, kind, n, at))
+    key, own, kind = map(np.concatenate, found)
+    del found
+    order = np.argsort(key, kind="stable")
+    key, own, kind = key[order], own[order], kind[order]
+    apart = key[1:] != key[:-1]
+    several = kind != _ALONE
+    if len(key):
+        several |= ~(np.r_[True, apart] & np.r_[apart, True])
+    key, own = key[several], own[several]
+    for k in range(0, len(key), 1 << 16):
+        yield pa.record_batch([pa.array(key[k : k + (1 << 16)].view(np.int64)), pa.array(own[k : k + (1 << 16)])], ["bucket", "id"])
+
+
+def shared_buckets(classes: DataFrame, entries: int) -> DataFrame:
+    """bucket, id, size: of classes(id long, buckets array<long>, none twice in a list) the buckets that several ids share, and how many do. entries: those of all lists, or more.
+
+    Entries go to their parts packed, one a bucket and task and its further ids spread over all parts, so that a task holds about ENTRIES, however many ids a bucket has.
+    """
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // ENTRIES))
+    dealt = classes.select("id", "buckets").mapInArrow(_dealt(parts), "part int, blob binary").repartition(parts, "part").select("blob")
+    rows = _util.materialize(dealt.mapInArrow(_met, "bucket long, id long"))
+    return rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
 
 
 def linked(members: DataFrame, buckets: DataFrame, alike: Callable[[str], str], cell: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:

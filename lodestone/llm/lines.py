@@ -5,8 +5,8 @@ similar enough. Of lines of up to SHORT characters all pairs are met: a line of
 floor(n / 10) leaves whole, near its place. Longer ones meet by the KEYS windows of a few words whose hashes are the least; changed places leave the
 windows between them whole. Pairs that meet are linked if their edit similarity is high enough. Of each connected group the first occurrence is kept.
 
-Blocks of a SimHash of 64 bits can't serve here: a tenth of a line's characters changed turns about nine bits, for which blocks would be of six
-bits and meet one pair of all lines in 64; three bits, which blocks afford, find one in ten of such pairs.
+Blocks of a SimHash of 64 bits can't serve here: a tenth of the words changed turns about nine bits (arccos(0.9) / pi of 64), for which blocks would be of six
+bits and meet one pair of all lines in 64; within the three bits that blocks afford are 54 of the 424 pairs of tests/llm/test_line_recall.py, the windows meet all.
 """
 
 from __future__ import annotations
@@ -21,33 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _graph, _util
-from ._hash import Words, mix
+from . import _edits, _graph, _lines, _util
+from ._hash import mix
+from ._lines import normal_line  # noqa: F401  the norm of a line, for tests
 
 #: Least edit similarity (1 - distance / length of the longer).
 SIMILARITY = 0.9
-_MARKS = " .,;:!?\"'()[]{}<>*#$%&|-_/\\«»„“”’‘…¡¿–—"
-
-
-def normal_word(word: str) -> str:
-    return word.lower().strip(_MARKS)
-
-
-def normal_line(line: str) -> str:
-    return " ".join(filter(None, map(normal_word, line.split())))
-
-
-class LineWords(Words):
-    """Words whose hash has the word's length, 63 at most, in its low six bits."""
-
-    def __missing__(self, word: str) -> int:
-        found = super().__missing__(word)
-        if found:
-            found = self[word] = found & ~63 | min(len(self.norm(word)), 63)
-        return found
-
-
-_WORDS = LineWords(normal_word)
 #: Characters up to which all pairs of lines are met; windows by which a longer line is met; most words of a window; characters of the windows of lines of few words.
 SHORT, KEYS, WINDOW, GRAM = 39, 8, 4, 8
 #: Words from which on all windows have WINDOW words and any two changed words leave one of them whole; words up to which windows of characters are taken too.
@@ -135,135 +114,121 @@ def gram_keys(line: str) -> np.ndarray:
     return np.unique(mix(~h))[:KEYS]
 
 
-#: Stands for a line feed among words, so that a batch of texts is hashed as one list.
-_FEED = "\ue0ff"
-
-
-def class_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each run of word hashes, in order."""
-    place = (np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))).astype(np.uint64)
-    return np.add.reduceat(mix(words ^ mix(place)), starts[:-1]), np.add.reduceat(mix(mix(words + place)), starts[:-1])
-
-
-def _clean(text: str | None) -> str:
-    return (text or "").replace(_FEED, "\ufffd")
-
-
 def _scanned(docs: DataFrame) -> DataFrame:
     """doc_id, h, line_no, c1, c2 (hash of the normalised line), buckets, n_words, n_chars of each line with a word of docs(doc_id, text, h)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat, many = [], []
-            for text in b.column(1).to_pylist():
-                text = _clean(text)
-                many.append(text.count("\n") + 1)
-                flat += text.replace("\n", f" {_FEED} ").split()
-                flat.append(_FEED)
-            raw = _WORDS.array(flat)
-            feed = raw == np.uint64(_WORDS[_FEED])
-            line = np.cumsum(feed) - feed
-            on = ~feed & (raw != 0)
-            line, words = line[on], raw[on]
-            lines = sum(many)
-            long = np.bincount(line, minlength=lines)
-            keep = long > 0
-            words, line = words[keep[line]], (np.cumsum(keep) - 1)[line[keep[line]]]
-            doc = np.repeat(np.arange(len(many)), many)[keep]
-            number = (np.arange(lines) - np.repeat(np.cumsum(many) - many, many).astype(np.int64))[keep] if lines else np.zeros(0, np.int64)
-            many = long[keep]
-            n = len(many)
-            starts = np.concatenate([[0], np.cumsum(many)])
-            c1 = c2 = np.zeros(0, np.uint64)
-            chars = np.zeros(0, np.int64)
-            of, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            if n:
-                c1, c2 = class_hashes(words, starts)
-                size = (words & np.uint64(63)).astype(np.int64)
-                chars = np.add.reduceat(size, starts[:-1]) + many - 1
-                ends = np.flatnonzero(feed)
-                begins = np.r_[0, ends[:-1] + 1]
-                ends, begins = ends[keep], begins[keep]
-                for k in np.flatnonzero(np.maximum.reduceat(size, starts[:-1]) == 63):
-                    chars[k] = len(normal_line(" ".join(flat[begins[k] : ends[k]])))
-                for k in np.flatnonzero(chars <= SHORT):
-                    found = segment_keys(normal_line(" ".join(flat[begins[k] : ends[k]])))
-                    of.append(np.full(len(found), k))
-                    keys.append(np.fromiter(found, np.uint64, len(found)))
+            for part in _lines.pieces(b.column(1).to_pylist()):
+                found = _lines.Lines([text for _, _, text in part])
+                many, chars = np.diff(found.starts), found.chars
+                of, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 # a longer one of more than SHORT characters may have a shorter one of fewer
-                on = chars >= SHORT + 1 - most_edits(SHORT + 1)
-                for k in np.flatnonzero(on & (many <= FEW)):
-                    found = gram_keys(normal_line(" ".join(flat[begins[k] : ends[k]])))
-                    of.append(np.full(len(found), k))
-                    keys.append(found)
-                on = np.flatnonzero(on)
+                windowed = chars >= SHORT + 1 - most_edits(SHORT + 1)
+                by_text = np.flatnonzero((chars <= SHORT) | windowed & (many <= FEW))
+                for k, line in zip(by_text.tolist(), found.texts(by_text).to_pylist(), strict=True):
+                    mine = segment_keys(line) if len(line) <= SHORT else set()
+                    if windowed[k]:
+                        mine |= set(gram_keys(line).tolist())
+                    of.append(np.full(len(mine), k))
+                    keys.append(np.fromiter(mine, np.uint64, len(mine)))
+                on = np.flatnonzero(windowed)
                 if len(on):
-                    at = np.repeat(starts[on] - np.cumsum(many[on]) + many[on], many[on]) + np.arange(many[on].sum())
-                    found, line = window_keys(words[at], np.concatenate([[0], np.cumsum(many[on])]))
+                    at = np.repeat(found.starts[on] - np.cumsum(many[on]) + many[on], many[on]) + np.arange(many[on].sum())
+                    key, line = window_keys(found.words[at], np.concatenate([[0], np.cumsum(many[on])]))
                     of.append(on[line])
-                    keys.append(found)
-            of, keys = np.concatenate(of), np.concatenate(keys)
-            keys = keys[np.argsort(of, kind="stable")].view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
-            yield pa.record_batch(
-                [b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.array(many.astype(np.int32)), pa.array(chars.astype(np.int32))],
-                ["doc_id", "h", "line_no", "c1", "c2", "buckets", "n_words", "n_chars"],
-            )
+                    keys.append(key)
+                of, keys = np.concatenate(of), np.concatenate(keys)
+                keys = keys[np.argsort(of, kind="stable")].view(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(many)))]).astype(np.int32)
+                c1, c2 = found.hashes()
+                doc, number = _places(part, found.of)
+                doc = pa.array(doc)
+                yield pa.record_batch(
+                    [b.column(0).take(doc), b.column(2).take(doc), pa.array(number.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.array(many.astype(np.int32)), pa.array(chars.astype(np.int32))],
+                    ["doc_id", "h", "line_no", "c1", "c2", "buckets", "n_words", "n_chars"],
+                )
 
     return docs.mapInArrow(run, f"doc_id {kind}, h long, line_no int, c1 long, c2 long, buckets array<long>, n_words int, n_chars int")
 
 
+def _places(part: list[tuple[int, int, str]], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the number within it of lines, given their places among all lines of the part."""
+    many = np.array([text.count("\n") + 1 for _, _, text in part])
+    first = np.cumsum(many) - many
+    which = np.searchsorted(first, of, side="right") - 1
+    return np.array([k for k, _, _ in part])[which], of - first[which] + np.array([line for _, line, _ in part])[which]
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, line, letters: the normalised lines of wanted(id, c1, c2, doc_id, line_no), and how often each of 32 kinds of letter is in them."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("id", "c1", "c2", "line_no")).alias("wanted"))
+    """id, line: the normalised lines of wanted(id, doc_id, h, line_no)."""
+    by_doc = wanted.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("line_no", "id"))).alias("wanted"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([z.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)], pa.binary())], ["doc_id", "h", "text"])
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            ids, lines, letters = [], [], []
-            for text, wanted in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                split = _clean(z.decompress(text.as_py()).decode("utf-8", "surrogatepass")).split("\n")
-                for w in wanted:
-                    line = split[w["line_no"]] if w["line_no"] < len(split) else ""
-                    words = _WORDS.array(line.split())
-                    words = words[words != 0]
-                    # another row of the same doc_id may have another line here
-                    if len(words):
-                        c1, c2 = class_hashes(words, np.array([0, len(words)]))
-                        if (c1.view(np.int64)[0], c2.view(np.int64)[0]) == (w["c1"], w["c2"]):
-                            ids.append(w["id"])
-                            lines.append(normal_line(line))
-                            letters.append(np.bincount(np.frombuffer(lines[-1].encode("utf-32-le", "surrogatepass"), np.uint32) & 31, minlength=32).astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * 32), pa.array(np.concatenate([np.zeros(0, np.int32), *letters])))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.string()), lists], ["id", "line", "letters"])
-
-    found = _util.packed(_util.only(docs, "doc_id", "text")).join(by_doc, "doc_id").select("text", "wanted").mapInArrow(normal, "id long, line string, letters array<int>")
-    return found.dropDuplicates(["id"])
+            wanted = b.column(1)
+            sizes = wanted.value_lengths().to_numpy()
+            flat = wanted.flatten()
+            doc, number, ids = np.repeat(np.arange(len(b)), sizes), flat.field(0).to_numpy(), flat.field(1)
+            for part in _lines.pieces([z.decompress(t.as_py()).decode("utf-8", "surrogatepass") for t in b.column(0)]):
+                found = _lines.Lines([text for _, _, text in part])
+                of, no = _places(part, found.of)
+                key = of << 32 | no
+                on = np.flatnonzero((doc >= part[0][0]) & (doc <= part[-1][0]) & np.isin(doc << 32 | number, key))
+                yield pa.record_batch([ids.take(pa.array(on)), found.texts(np.searchsorted(key, doc[on] << 32 | number[on]))], ["id", "line"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.where("doc_id IS NOT NULL").mapInArrow(packed, f"doc_id {kind}, h long, text binary")
+    return texts.join(by_doc, ["doc_id", "h"]).select("text", "wanted").mapInArrow(normal, "id long, line string")
+
+
+#: Characters of lines whose edits are counted at a time.
+EDITED = 1 << 23
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b of those of (a, b, s, t) whose lines have the edit similarity."""
+
+    def done(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.Table.from_batches(some).combine_chunks()
+        b = b.filter(pa.array(_edits.within(b.column(2).to_pylist(), b.column(3).to_pylist(), 1 - SIMILARITY)))
+        return b.select(["a", "b"]).combine_chunks().to_batches()
+
+    some, size = [], 0
+    for b in batches:
+        some.append(b)
+        size += b.nbytes
+        if size > EDITED:
+            yield from done(some)
+            some, size = [], 0
+    if some:
+        yield from done(some)
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """What fuzzy_lines() returns, with h, the hash of the row's text."""
-    spark = docs.sparkSession
-    _util.small_batches(spark)
+    _util.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     scanned = _util.materialize(_scanned(docs).withColumn("rid", F.monotonically_increasing_id()))
-    classes = scanned.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no", "rid")).alias("first"), F.first("buckets").alias("buckets"), F.first("n_chars").alias("n"))
-    classes = _util.materialize(classes.withColumn("id", F.monotonically_increasing_id()))
-    members = _util.materialize(_graph.shared_buckets(classes.select("id", "n", F.explode("buckets").alias("bucket"))))
-    wanted = classes.join(members.select("id").distinct(), "id").select("id", "c1", "c2", "first.doc_id", "first.line_no")
-    texts = _util.materialize(_texts(docs, wanted))
+    classes = scanned.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no", "rid", "h")).alias("first"), F.first("buckets").alias("buckets"), F.first("n_chars").alias("n"))
+    classes, seen = _util.materialize_seen(classes.withColumn("id", F.monotonically_increasing_id()), F.sum(F.size("buckets")).alias("entries"))
+    met = _util.materialize(_graph.shared_buckets(classes, seen["entries"] or 0).join(classes.select("id", "n"), "id"))
+    wanted = classes.join(met.select("id").distinct(), "id").select("id", "first.doc_id", "first.h", "first.line_no")
+    # rows that repeat a doc_id and its text have the same lines
+    texts = _util.materialize(_texts(_util.one_each(docs), wanted))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        s, t = (texts.select(F.col("id").alias(x), F.col("line").alias(y), F.col("letters").alias(f"l{y}")) for x, y in (("a", "s"), ("b", "t")))
-        both = pairs.join(s, "a").join(t, "b").withColumn("n", F.expr("greatest(length(s), length(t))"))
-        both = both.withColumn("most", F.expr(f"CAST(floor(n * {1 - SIMILARITY:.6f}D + 1e-9D) AS INT)"))
-        # an edit takes one letter away at most, and adds one at most
-        both = both.where("aggregate(zip_with(ls, lt, (x, y) -> greatest(x - y, 0)), 0, (x, y) -> x + y) <= most AND aggregate(zip_with(ls, lt, (x, y) -> greatest(y - x, 0)), 0, (x, y) -> x + y) <= most")
-        # the work goes with the bound, and most linked lines are far below it
-        return both.where("levenshtein(s, t, CAST(most / 8 AS INT)) >= 0 OR levenshtein(s, t, most) >= 0").select("a", "b")
-
-    of = _graph.linked(members, classes.select("id", "buckets"), lambda y: f"abs(n - {y}n) <= floor(greatest(n, {y}n) * {1 - SIMILARITY:.6f}D + 1e-9D)", f"floor(ln(n) / {-math.log(SIMILARITY - 1e-4)!r}D)", verify)
+        s, t = texts.toDF("a", "s"), texts.toDF("b", "t")
+        return pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_alike, "a long, b long")
+
+    of = _graph.linked(met, classes.select("id", "buckets"), lambda y: f"abs(n - {y}n) <= floor(greatest(n, {y}n) * {1 - SIMILARITY:.6f}D + 1e-9D)", f"floor(ln(n) / {-math.log(SIMILARITY - 1e-4)!r}D)", verify)
     groups = classes.select("id", "c1", "c2", "first").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = groups.groupBy("component").agg(F.min("first").alias("first"))
     named = groups.select("c1", "c2", "component").join(first, "component").select("c1", "c2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), F.col("first.rid").alias("_rid"))

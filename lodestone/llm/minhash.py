@@ -187,8 +187,8 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
     classes = signed.where("weight > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("id", "rid")).alias("first"), *first)
     # classes have ids of their own, as a doc_id may have rows with different texts
     classes = classes.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "first", "weight", F.expr("transform(bands, (b, k) -> xxhash64(k, b))").alias("buckets"), "sketch", "level")
-    classes = _util.materialize(classes)
-    met = _util.materialize(_graph.shared_buckets(classes.select("id", F.explode("buckets").alias("bucket"))))
+    classes, seen = _util.materialize_seen(classes, F.count("*").alias("n"))
+    met = _util.materialize(_graph.shared_buckets(classes, seen["n"] * BANDS))
     wanted = met.select("id").distinct().join(classes, "id").select("id", F.col("first.id").alias("doc_id"), "c1", "c2")
     members = met.join(classes.select("id", "weight", "sketch", "level"), "id")
     texts = _util.materialize(_texts(docs, wanted))

@@ -1,10 +1,11 @@
 """Operator 8 against all pairs of lines."""
 
+import random
 from collections import Counter
 
 import numpy as np
 
-from lodestone.llm import _util, lines
+from lodestone.llm import _edits, _lines, _util, lines
 
 
 def distance(a, b):
@@ -108,3 +109,34 @@ def test_rows_of_one_doc_id(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "some words here", 1, 2, "x"), (2, "some words here\nmore words", 3, 4, "y")], "doc_id long, text string, gone int, h int, row string")
     assert [tuple(r) for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == [(1, "some words here", 1, 2, "x"), (2, "more words", 3, 4, "y")]
+
+
+def test_edits_against_the_whole_matrix(monkeypatch):
+    r = random.Random(2)
+    s, t = [], []
+    for _ in range(200):
+        a = "".join(r.choices("abcdé ", k=r.randint(0, 200)))
+        b = list(a)
+        for _ in range(r.randint(0, 30)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + 1] = r.choice([[], ["x"], ["y", "z"]])
+        s.append(a)
+        t.append("".join(b))
+    want = [distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9) for a, b in zip(s, t, strict=True)]
+    assert _edits.within(s, t, 0.1).tolist() == want and 20 < sum(want) < 180
+    monkeypatch.setattr(_edits, "WIDE", 0)
+    assert _edits.within(s, t, 0.1).tolist() == want
+
+
+def test_lines_over_bytes(monkeypatch):
+    texts = [None, "", " ", "\n\n", "A b,\n«Été» x y ’z’\n!!\n", "İx Σ\n last", "-a- --\n\x85b c", "don't\n" * 40]
+    want = [(k, no, n) for k, x in enumerate(texts) for no, line in enumerate((x or "").split("\n")) if (n := lines.normal_line(line))]
+    for piece in (1, 1 << 20):
+        monkeypatch.setattr(_lines, "PIECE", piece)
+        got = []
+        for part in _lines.pieces(texts):
+            found = _lines.Lines([x for _, _, x in part])
+            doc, no = lines._places(part, found.of)
+            got += zip(doc.tolist(), no.tolist(), found.texts(np.arange(len(found.of))).to_pylist(), strict=True)
+            assert found.chars.tolist() == [len(x[2]) for x in got[len(got) - len(found.of) :]]
+        assert got == want
