@@ -91,8 +91,8 @@ def _far(a: np.ndarray, b: np.ndarray, most: int) -> bool:
 
     def runs(x: np.ndarray) -> np.ndarray:
         x = x.astype(np.uint64)
-        h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xBF58476D1CE4E5B9) + x[2:] * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)
-        return np.bincount(h.astype(np.int64), minlength=1 << 16)
+        h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xBF58476D1CE4E5B9) + x[2:] * np.uint64(0x94D049BB133111EB)) >> np.uint64(52)
+        return np.bincount(h.astype(np.int64), minlength=1 << 12)
 
     apart = runs(a) - runs(b)
     return max(apart[apart > 0].sum(), -apart[apart < 0].sum()) > 3 * most

@@ -15,6 +15,7 @@ PIECE = 1 << 21
 _MARKS = " .,;:!?\"'()[]{}<>*#$%&|-_/\\"
 _WIDE_MARKS = "«»„“”’‘…¡¿–—"
 _WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_LANES = np.uint64(0x0101010101010101)
 _CORE, _SPACE, _MARK, _FEED = 0, 1, 2, 3
 _KIND = np.zeros(256, np.uint8)
 _KIND[[ord(c) for c in _MARKS]] = _MARK
@@ -76,6 +77,7 @@ class Lines:
         self.starts = np.r_[heads, len(line)]
         count = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)
         size = count[self._end - 1] - count[self._first] + 1
+        self._sizes = size
         self.chars = np.add.reduceat(size, heads).astype(np.int64) + np.diff(self.starts) - 1 if len(heads) else np.zeros(0, np.int64)
         self._data = data
 
@@ -87,6 +89,34 @@ class Lines:
         place = (np.arange(len(self.words)) - np.repeat(self.starts[:-1], many)).astype(np.uint64)
         return np.add.reduceat(mix(self.words ^ mix(place)), self.starts[:-1]), np.add.reduceat(mix(mix(self.words + place)), self.starts[:-1])
 
+    def simhashes(self, longer: int) -> tuple[np.ndarray, np.ndarray]:
+        """SimHash of each line's words of more than so many characters, as often as they occur, and how many these are: a bit is that of most words; a tie gives 0."""
+        on = self._sizes > longer
+        many = np.add.reduceat(on.astype(np.int64), self.starts[:-1]) if len(self.of) else np.zeros(0, np.int64)
+        out = np.zeros((len(many), 8), np.uint8)
+        some = np.flatnonzero(many)
+        if len(some):
+            words, count = self.words[on], many[some]
+            start = np.cumsum(count) - count
+            # one bit of each byte at a time, added in the bytes' lanes, for which no run may pass 255 words
+            parts = (count + 254) // 255
+            part = np.repeat(start - 255 * (np.cumsum(parts) - parts), parts) + 255 * np.arange(parts.sum())
+            first = np.cumsum(parts) - parts
+            for j in range(8):
+                lanes = np.add.reduceat((words >> np.uint64(j)) & _LANES, part)
+                ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int32), first, axis=0)
+                out[some] |= (ones * 2 > count[:, None]).astype(np.uint8) << np.uint8(j)
+        return out.view(np.uint64).reshape(-1), many
+
+    def letters(self, which: np.ndarray) -> np.ndarray:
+        """For some of the lines how many characters of each of 16 kinds they have, 15 at most, in four bits each."""
+        text = self.texts(which)
+        offsets, data = (np.frombuffer(b, t) for b, t in zip(text.buffers()[1:], (np.int32, np.uint8), strict=True))
+        data, line = data[: offsets[-1]], np.repeat(np.arange(len(text)), np.diff(offsets[: len(text) + 1]))
+        on = (data & 0xC0) != 0x80
+        many = np.minimum(np.bincount(line[on] * 16 + (data[on] & 15), minlength=16 * len(text)), 15).astype(np.uint64).reshape(-1, 16)
+        return (many << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64)
+
     def texts(self, which: np.ndarray) -> pa.Array:
         """The normalised lines of some of the lines."""
         many = np.diff(self.starts)[which]

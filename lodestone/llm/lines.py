@@ -3,9 +3,10 @@
 Lines are normalised (words in lower case, without marks at their ends) and equal ones become one class. Pigeonholes bring classes together that may be
 similar enough. Of lines of up to SHORT characters all pairs are met: a line of n has floor(n / 10) + 1 segments, one of which an edit distance of
 floor(n / 10) leaves whole, near its place. Longer ones meet by the KEYS windows of a few words whose hashes are the least; changed places leave the
-windows between them whole. Pairs that meet are linked if their edit similarity is high enough. Of each connected group the first occurrence is kept.
+windows between them whole. Pairs that meet are linked if the SimHashes of lines of many words are within BITS, and the edit similarity is high enough. Of each
+connected group the first occurrence is kept.
 
-Blocks of a SimHash of 64 bits can't serve here: a tenth of the words changed turns about nine bits (arccos(0.9) / pi of 64), for which blocks would be of six
+Blocks of a SimHash of 64 bits can't be the pigeonholes: a tenth of the words changed turns about nine bits (arccos(0.9) / pi of 64), for which blocks would be of six
 bits and meet one pair of all lines in 64; within the three bits that blocks afford are 54 of the 424 pairs of tests/llm/test_line_recall.py, the windows meet all.
 """
 
@@ -28,7 +29,11 @@ from ._lines import normal_line  # noqa: F401  the norm of a line, for tests
 #: Least edit similarity (1 - distance / length of the longer).
 SIMILARITY = 0.9
 #: Characters up to which all pairs of lines are met; windows by which a longer line is met; most words of a window; characters of the windows of lines of few words.
-SHORT, KEYS, WINDOW, GRAM = 39, 8, 4, 8
+SHORT, KEYS, WINDOW, GRAM = 39, 8, 5, 8
+#: Characters up to which the kinds of letters of a line of few words are counted.
+LETTERS = 120
+#: Bits in which the SimHashes of linked lines may differ (of unlike lines they differ in 26 or so), the least words that make one, and characters that a word of it has more of.
+BITS, HASHED, LONGER = 22, 12, 3
 #: Words from which on all windows have WINDOW words and any two changed words leave one of them whole; words up to which windows of characters are taken too.
 LONG, FEW = 3 * WINDOW + 2, 6
 _MUL = [mix(np.uint64([k]))[0] | np.uint64(1) for k in range(1, 1 + max(WINDOW, GRAM))]
@@ -115,7 +120,7 @@ def gram_keys(line: str) -> np.ndarray:
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, h, line_no, c1, c2 (hash of the normalised line), buckets, n_words, n_chars of each line with a word of docs(doc_id, text, h)."""
+    """doc_id, h, line_no, c1, c2 (hash of the normalised line), buckets, n_words, n_chars, bits (SimHash, null for lines of few words), letters (of short ones of few words) of each line with a word of docs(doc_id, text, h)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +148,18 @@ def _scanned(docs: DataFrame) -> DataFrame:
                 keys = keys[np.argsort(of, kind="stable")].view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(many)))]).astype(np.int32)
                 c1, c2 = found.hashes()
+                bits, hashed = found.simhashes(LONGER)
+                few = (hashed < HASHED) & (chars <= LETTERS)
+                letters = np.zeros(len(many), np.uint64)
+                letters[few] = found.letters(np.flatnonzero(few)) if few.any() else 0
                 doc, number = _places(part, found.of)
                 doc = pa.array(doc)
                 yield pa.record_batch(
-                    [b.column(0).take(doc), b.column(2).take(doc), pa.array(number.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.array(many.astype(np.int32)), pa.array(chars.astype(np.int32))],
-                    ["doc_id", "h", "line_no", "c1", "c2", "buckets", "n_words", "n_chars"],
+                    [b.column(0).take(doc), b.column(2).take(doc), pa.array(number.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.array(many.astype(np.int32)), pa.array(chars.astype(np.int32)), pa.array(bits.view(np.int64), mask=hashed < HASHED), pa.array(letters.view(np.int64), mask=~few)],
+                    ["doc_id", "h", "line_no", "c1", "c2", "buckets", "n_words", "n_chars", "bits", "letters"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, h long, line_no int, c1 long, c2 long, buckets array<long>, n_words int, n_chars int")
+    return docs.mapInArrow(run, f"doc_id {kind}, h long, line_no int, c1 long, c2 long, buckets array<long>, n_words int, n_chars int, bits long, letters long")
 
 
 def _places(part: list[tuple[int, int, str]], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,14 +221,21 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(some)
 
 
+def _may_be_alike(y: str) -> str:
+    """SQL: false for pairs of lines that their lengths, SimHashes or letters keep apart. An edit takes one letter away at most, and adds one at most."""
+    most = f"floor(greatest(n, {y}n) * {1 - SIMILARITY:.6f}D + 1e-9D)"
+    apart = " + ".join(f"abs((shiftright(letters, {4 * k}) & 15) - (shiftright({y}letters, {4 * k}) & 15))" for k in range(16))
+    return f"abs(n - {y}n) <= {most} AND coalesce(bit_count(bits ^ {y}bits), 0) <= {BITS} AND coalesce({apart}, 0) <= 2 * {most}"
+
+
 def _grouped(docs: DataFrame) -> DataFrame:
     """What fuzzy_lines() returns, with h, the hash of the row's text."""
     _util.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     scanned = _util.materialize(_scanned(docs).withColumn("rid", F.monotonically_increasing_id()))
-    classes = scanned.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no", "rid", "h")).alias("first"), F.first("buckets").alias("buckets"), F.first("n_chars").alias("n"))
+    classes = scanned.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no", "rid", "h")).alias("first"), F.first("buckets").alias("buckets"), F.first("n_chars").alias("n"), F.first("bits").alias("bits"), F.first("letters").alias("letters"))
     classes, seen = _util.materialize_seen(classes.withColumn("id", F.monotonically_increasing_id()), F.sum(F.size("buckets")).alias("entries"))
-    met = _util.materialize(_graph.shared_buckets(classes, seen["entries"] or 0).join(classes.select("id", "n"), "id"))
+    met = _util.materialize(_graph.shared_buckets(classes, seen["entries"] or 0).join(classes.select("id", "n", "bits", "letters"), "id"))
     wanted = classes.join(met.select("id").distinct(), "id").select("id", "first.doc_id", "first.h", "first.line_no")
     # rows that repeat a doc_id and its text have the same lines
     texts = _util.materialize(_texts(_util.one_each(docs), wanted))
@@ -228,11 +244,11 @@ def _grouped(docs: DataFrame) -> DataFrame:
         s, t = texts.toDF("a", "s"), texts.toDF("b", "t")
         return pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_alike, "a long, b long")
 
-    of = _graph.linked(met, classes.select("id", "buckets"), lambda y: f"abs(n - {y}n) <= floor(greatest(n, {y}n) * {1 - SIMILARITY:.6f}D + 1e-9D)", f"floor(ln(n) / {-math.log(SIMILARITY - 1e-4)!r}D)", verify)
+    of = _graph.linked(met, classes.select("id", "buckets"), _may_be_alike, f"floor(ln(n) / {-math.log(SIMILARITY - 1e-4)!r}D)", verify)
     groups = classes.select("id", "c1", "c2", "first").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = groups.groupBy("component").agg(F.min("first").alias("first"))
     named = groups.select("c1", "c2", "component").join(first, "component").select("c1", "c2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), F.col("first.rid").alias("_rid"))
-    out = scanned.drop("buckets", "n_chars").join(named, ["c1", "c2"], "left")
+    out = scanned.drop("buckets", "n_chars", "bits", "letters").join(named, ["c1", "c2"], "left")
     return out.selectExpr("doc_id", "h", "line_no", "n_words", *[f"CASE WHEN doc_id IS NOT NULL THEN {c} END AS {c}" for c in ("first_doc_id", "first_line_no")], "doc_id IS NULL OR rid = _rid AS kept")
 
 
@@ -242,7 +258,7 @@ def fuzzy_lines(docs: DataFrame) -> DataFrame:
     line_no counts from 0 the parts of a text between line feeds. Of each group one line is kept, the first by doc_id and
     line_no, of one row only where rows repeat a doc_id. Rows without doc_id are compared with nothing and keep their lines. Lines without a
     word are not listed; a null text has no lines. Lines that meet are linked when the edit similarity of the
-    normalised lines is at least SIMILARITY. Equal lines are one class, never paired.
+    normalised lines is at least SIMILARITY and, of lines of many words, the SimHashes differ in no more than BITS. Equal lines are one class, never paired.
     """
     return _grouped(docs).drop("h")
 
