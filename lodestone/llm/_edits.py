@@ -89,17 +89,19 @@ def _together(pairs: list[tuple[np.ndarray, np.ndarray]], wide: int) -> np.ndarr
 def _far(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether the runs of three characters show that strings are more than so many edits apart, as each edit makes and breaks three at most."""
 
+    kinds = 1 << (10 if len(b) < 512 else 12 if len(b) < 8192 else 16)
+
     def runs(x: np.ndarray) -> np.ndarray:
         x = x.astype(np.uint64)
-        h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xBF58476D1CE4E5B9) + x[2:] * np.uint64(0x94D049BB133111EB)) >> np.uint64(52)
-        return np.bincount(h.astype(np.int64), minlength=1 << 12)
+        return (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xBF58476D1CE4E5B9) + x[2:] * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)
 
-    apart = runs(a) - runs(b)
+    counts = [np.bincount(runs(x).astype(np.int64) & kinds - 1, minlength=kinds) for x in (a, b)]
+    apart = counts[0] - counts[1]
     return max(apart[apart > 0].sum(), -apart[apart < 0].sum()) > 3 * most
 
 
-def within(s: list[str], t: list[str], share: float) -> np.ndarray:
-    """Whether each pair's edit distance is at most that share of the longer string's characters, rounded down."""
+def within(s: list[str], t: list[str], share: float, sieve: bool = False) -> np.ndarray:
+    """Whether each pair's edit distance is at most that share of the longer string's characters, rounded down. sieve: whether it pays to look for pairs that are far apart first."""
     out = np.zeros(len(s), bool)
     groups: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
     most = np.zeros(len(s), np.int64)
@@ -113,8 +115,10 @@ def within(s: list[str], t: list[str], share: float) -> np.ndarray:
             out[k] = True
         elif not len(a):
             pass
+        elif (sieve or len(a) > 64 * WIDE) and _far(a, b, most[k]):
+            pass
         elif len(a) > 64 * WIDE:
-            out[k] = not _far(a, b, most[k]) and _one(a, b) <= most[k]
+            out[k] = _one(a, b) <= most[k]
         else:
             groups.setdefault((len(a) + 63) // 64, []).append((k, a, b))
     for wide, group in groups.items():

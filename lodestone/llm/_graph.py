@@ -115,6 +115,14 @@ def shared_buckets(classes: DataFrame, entries: int) -> DataFrame:
     return rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
 
 
+def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
+    """of(id, component) after further links(a, b): what they join are components already."""
+    a, b = of.toDF("a", "_a"), of.toDF("b", "_b")
+    joined = _util.materialize(components(links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))).toDF("component", "_merged")
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().join(of, "id", "left_anti").select("id", F.col("id").alias("component"))
+    return _util.materialize(of.unionByName(ends).join(joined, "component", "left").select("id", F.coalesce("_merged", "component").alias("component")))
+
+
 def linked(members: DataFrame, buckets: DataFrame, alike: Callable[[str], str], cell: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """id, component: those of all links between two members of one bucket, for each id that has one; component is the smallest id.
 
@@ -123,31 +131,41 @@ def linked(members: DataFrame, buckets: DataFrame, alike: Callable[[str], str],
     ones of pairs (a, b).
 
     In each bucket all are compared with the few members that share most buckets with others, the most central. Two members
-    then are in one component already, or one of them is outside the bucket's largest component; each such outsider is
+    then are in one component already, or one of them is outside the bucket's largest component. While such outsiders would make many pairs,
+    and rounds join many of them, the most central outsiders lead their buckets likewise; each one that is left is then
     compared with every member of another component in the first of the buckets that both share. No pair of a bucket is
     left out but those in one component, so the components are those of all pairs.
     """
-    central = members.groupBy("id").agg(F.sum("size").alias("_central"))
-    w = W.partitionBy("bucket").orderBy(F.desc("_central"), "id")
-    # a limit by rank in its bucket is taken before the exchange already, so no bucket is gathered
-    heads = members.join(central, "id").withColumn("_rank", F.row_number().over(w)).where(f"_rank <= {LEADERS}")
     values = [c for c in members.columns if c not in ("bucket", "id", "size")]
-    heads = _util.materialize(heads.select("bucket", F.col("id").alias("leader"), *[F.col(c).alias(f"y_{c}") for c in values]))
-    star = members.join(heads, "bucket").where(f"id <> leader AND ({alike('y_')})")
-    pairs = _util.materialize(star.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct())
-    links = _util.materialize(verify(pairs))
-    _util.discard(pairs)
-    of = _util.materialize(components(links))
-    _util.discard(links)
-    now = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    main = now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    # what has led its bucket has been compared with all of it
-    now = now.join(main, "bucket").join(heads.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
-    now = now.join(buckets, "id").select("bucket", "id", *values, "component", "buckets", F.expr(f"CAST({cell} AS INT)").alias("cell"), F.expr("component <> main").alias("out"))
-    now, seen = _util.materialize_seen(now, F.count_if("out").alias("n"))
-    _util.discard(heads)
-    if not seen["n"]:
-        return of
+    central = members.groupBy("id").agg(F.sum("size").alias("central"))
+    now, seen = _util.materialize_seen(members.join(central, "id").select("bucket", "id", *values, "central", F.col("id").alias("component"), F.lit(True).alias("out")), F.count("*").alias("n"))
+    all_members, of = seen["n"], None
+    w = W.partitionBy("bucket").orderBy(F.desc("out"), F.desc("central"), "id")
+    while True:
+        # a limit by rank in its bucket is taken before the exchange already, so no bucket is gathered
+        heads = now.withColumn("_rank", F.row_number().over(w)).where(f"_rank <= {LEADERS}")
+        heads = _util.materialize(heads.select("bucket", F.col("id").alias("leader"), F.col("component").alias("y_component"), *[F.col(c).alias(f"y_{c}") for c in values]))
+        star = now.join(heads, "bucket").where(f"component <> y_component AND ({alike('y_')})")
+        pairs = _util.materialize(star.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct())
+        links, seen = _util.materialize_seen(verify(pairs), F.count("*").alias("n"))
+        _util.discard(pairs)
+        of = _merged(of, links) if of is not None else _util.materialize(components(links))
+        found = seen["n"]
+        now_of = now.drop("component", "out").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        main = now_of.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("size"), F.max("n").alias("largest")).where("parts > 1")
+        main = _util.materialize(main.select("bucket", "main", F.expr("(size - largest) * size").alias("left")))
+        # what has led its bucket has been compared with all of it
+        rest = now_of.join(main.drop("left"), "bucket").join(heads.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
+        rest, seen = _util.materialize_seen(rest.select("bucket", "id", *values, "central", "component", F.expr("component <> main").alias("out")), F.count_if("out").alias("n"))
+        for old in (now, heads, links):
+            _util.discard(old)
+        now = rest
+        if not seen["n"]:
+            return of
+        if found < seen["n"] / 20 or main.agg(F.sum("left")).first()[0] <= 2 * all_members:
+            break
+    now = now.join(buckets, "id").select("bucket", "id", *values, "component", "buckets", F.expr(f"CAST({cell} AS INT)").alias("cell"), "out")
+    now = _util.materialize(now)
     y = now.select("bucket", "cell", *[F.col(c).alias(f"y_{c}") for c in now.columns if c not in ("bucket", "cell")])
     rest = now.where("out").withColumn("cell", F.explode(F.expr("array(cell - 1, cell, cell + 1)"))).join(y, ["bucket", "cell"])
     rest = rest.where(f"component <> y_component AND (NOT y_out OR id < y_id) AND ({alike('y_')}) AND array_min(array_intersect(buckets, y_buckets)) = bucket")
@@ -155,9 +173,4 @@ def linked(members: DataFrame, buckets: DataFrame, alike: Callable[[str], str],
     _util.discard(now)
     if not seen["n"]:
         return of
-    more = _util.materialize(verify(pairs))
-    # what the outsiders' links join are components already
-    a, b = of.toDF("a", "_a"), of.toDF("b", "_b")
-    merged = _util.materialize(components(more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))).toDF("component", "_merged")
-    ends = more.select(F.col("a").alias("id")).union(more.select("b")).distinct().join(of, "id", "left_anti").select("id", F.col("id").alias("component"))
-    return of.unionByName(ends).join(merged, "component", "left").select("id", F.coalesce("_merged", "component").alias("component"))
+    return _merged(of, _util.materialize(verify(pairs)))

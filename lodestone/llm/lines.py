@@ -199,22 +199,26 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 #: Characters of lines whose edits are counted at a time.
-EDITED = 1 << 23
+EDITED = 1 << 24
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b of those of (a, b, s, t) whose lines have the edit similarity."""
 
-    def done(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+    linked = 1.0
+
+    def done(some: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        nonlocal linked
         b = pa.Table.from_batches(some).combine_chunks()
-        b = b.filter(pa.array(_edits.within(b.column(2).to_pylist(), b.column(3).to_pylist(), 1 - SIMILARITY)))
-        return b.select(["a", "b"]).combine_chunks().to_batches()
+        alike = _edits.within(b.column(2).to_pylist(), b.column(3).to_pylist(), 1 - SIMILARITY, linked < 0.5)
+        linked = alike.mean() if len(alike) else linked
+        return b.filter(pa.array(alike)).select(["a", "b"]).combine_chunks().to_batches()
 
     some, size = [], 0
     for b in batches:
         some.append(b)
         size += b.nbytes
-        if size > EDITED:
+        if size > (EDITED if linked < 1 else EDITED // 16):
             yield from done(some)
             some, size = [], 0
     if some:

@@ -123,6 +123,7 @@ def test_edits_against_the_whole_matrix(monkeypatch):
         s.append(a)
         t.append("".join(b))
     want = [distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9) for a, b in zip(s, t, strict=True)]
+    assert _edits.within(s, t, 0.1, True).tolist() == want
     assert _edits.within(s, t, 0.1).tolist() == want and 20 < sum(want) < 180
     monkeypatch.setattr(_edits, "WIDE", 0)
     assert _edits.within(s, t, 0.1).tolist() == want
