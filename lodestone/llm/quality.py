@@ -167,14 +167,16 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[Rule]:
-    """Rules from labelled rows of docs that pass the base conditions; label 0 is bad, 1 good, others and null are left out. At most SAMPLE labels are used; so is the memory that learning takes."""
+    """Rules from labelled rows of docs that pass the base conditions; label 0 is bad, 1 good, others and null are left out. At most SAMPLE labels are used, and so is the memory that learning takes; of rows that repeat a doc_id the one of the least statistics is."""
     chosen = labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_key")).agg((F.min(f"`{label_col}`") == 0).alias("_bad"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(17), "_key"), "_key").limit(SAMPLE)
     # SAMPLE rows of two small columns: a broadcast of a fixed bound
     some = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_key"], "inner")
     stats = statistics(some.select(F.struct("_key", "_bad").alias("_of"), F.col(f"`{text_col}`").alias("text")), "_of", "text")
-    rows = stats.where(~base_failed()).select("_of._key", "_of._bad", *[F.expr(f"CAST({v} AS DOUBLE)").alias(k) for k, v in FEATURES.items()]).limit(2 * SAMPLE).collect()
-    return learn(sorted(((r["_key"], {k: r[k] for k in FEATURES}, r["_bad"]) for r in rows), key=lambda r: r[0]))
+    features = F.struct(*[F.expr(f"CAST({v} AS DOUBLE)").alias(k) for k, v in FEATURES.items()])
+    # a row for each label chosen, SAMPLE at most
+    rows = stats.where(~base_failed()).groupBy("_of._key", "_of._bad").agg(F.min(features).alias("of")).collect()
+    return learn(sorted(((r["_key"], r["of"].asDict(), r["_bad"]) for r in rows), key=lambda r: r[0]))
 
 
 def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,3 +55,13 @@ def test_empty(spark, sf, empty):
     out = quality.judge(docs, quality.fit(docs, labels))
     assert out.count() == docs.count()
     assert out.where("kept = base_failed").count() == 0 or labels.count()
+
+
+def test_repeated_doc_ids_make_one_row_each(spark, sf, monkeypatch):
+    """The rules are the same in whatever order rows come, and labels of repeated rows count once."""
+    docs, labels = (_util.table(spark, sf, t) for t in ("documents", "labels"))
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda rows: seen.append(rows) or [])
+    quality.fit(docs, labels)
+    quality.fit(docs.unionByName(docs).unionByName(docs).repartition(7), labels)
+    assert seen[0] == seen[1] and len(seen[0]) == len({r[0] for r in seen[0]}) > 50
