@@ -10,6 +10,8 @@ import numpy as np
 
 from ._hash import mix, uniform
 
+#: Nearest vectors by which recall is measured where no vector is in range.
+NEAREST = 10
 #: Neighbours in upper layers and in the lowest, beam while building, nodes inserted at a time, queries searched at a time.
 DEGREE, DEGREE_0, BUILD_BEAM, INSERTED, QUERIES = 12, 24, 48, 256, 512
 
@@ -136,19 +138,27 @@ class Graph:
 
         Queries whose whole beam is within the range are searched with wider beams, and beyond the widest compared with all
         vectors. One query in `audit` is compared with all in any case: while less than `recall` of what that finds is found, all
-        beams are widened.
+        beams are widened. What an audit finds is the pairs in range, without the query itself, or where there are none the
+        NEAREST nearest vectors, so that recall is always measured.
         """
         found_q, found_v = [], []
         for k in range(0, len(queries), QUERIES):
             q = queries[k : k + QUERIES]
             checked = np.arange(0, len(q), audit)
-            true_q, true_v = self._all(q[checked], least)
+            true_q, true_v = self._audited(q[checked], least)
+            in_range = bool(len(true_q))
+            if not in_range:
+                true_q, true_v = self._nearest(q[checked])
             while True:
                 a, b = self._widened(q, least, width, widest)
                 if width > widest or not len(true_q):
                     break
-                of = np.isin(a, checked)
-                key = a[of].astype(np.int64) * len(self.exact) + b[of]
+                if in_range:
+                    of = np.isin(a, checked)
+                    key = a[of].astype(np.int64) * len(self.exact) + b[of]
+                else:
+                    ids, _ = self.near(q[checked].astype(np.float32), min(width, len(self.exact)))
+                    key = (checked[:, None].astype(np.int64) * len(self.exact) + ids)[ids >= 0]
                 if np.isin(checked[true_q].astype(np.int64) * len(self.exact) + true_v, key).mean() >= recall:
                     break
                 width *= 2
@@ -159,6 +169,17 @@ class Graph:
     def _all(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         return np.nonzero(q @ self.exact.T >= least)
 
+    def _audited(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs in range of vectors that are not equal."""
+        cosine = q @ self.exact.T
+        return np.nonzero((cosine >= least) & (cosine < 1 - 1e-12))
+
+    def _nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each query's NEAREST nearest vectors."""
+        many = min(NEAREST, len(self.exact))
+        top = np.argpartition(-(q @ self.exact.T), many - 1, axis=1)[:, :many] if many else np.zeros((len(q), 0), np.int64)
+        return np.repeat(np.arange(len(q)), many), top.reshape(-1)
+
     def _widened(self, q: np.ndarray, least: float, width: int, widest: int) -> tuple[np.ndarray, np.ndarray]:
         open_, out_q, out_v = np.arange(len(q)), [], []
         while len(open_):

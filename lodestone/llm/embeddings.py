@@ -112,21 +112,24 @@ def near_vectors(df: DataFrame, least: float = COSINE, shard: int = SHARD) -> Da
     v = _util.only(df, "vec_id", "embedding", "label")
     fine = "label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND coalesce(forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')), false) AND exists(embedding, x -> x <> 0)"
     good = v.where(fine)
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
-    classes = _util.materialize(classes)
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
+    # classes have ids of their own, as different vectors may have one vec_id
+    classes = _util.materialize(classes.withColumn("id", F.monotonically_increasing_id()))
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size")).select("label", "dim", F.expr(f"CAST(ceil(size / {shard}) AS INT)").alias("shards"), F.expr(f"CAST(ceil(size / {SPLIT}) AS INT)").alias("splits"))
     dealt = classes.join(sizes, ["label", "dim"]).withColumn("own", F.expr("CAST(pmod(xxhash64(id), shards) AS INT)"))
     built = dealt.select("label", "dim", F.col("own").alias("shard"), "id", "n", "embedding").groupBy("label", "dim", "shard").applyInArrow(_built, f"label {df.schema['label'].dataType.simpleString()}, dim int, shard int, blob binary")
     built = _util.materialize(built)
     emb = df.schema["embedding"].dataType.simpleString()
     graphs = built.join(sizes, ["label", "dim"]).select("label", "dim", "shard", F.explode(F.expr("sequence(0, splits - 1)")).alias("split"), F.lit(None).cast("long").alias("id"), F.lit(None).cast(emb).alias("embedding"), "blob")
-    asked = dealt.select("label", "dim", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"), F.expr("CAST(pmod(xxhash64(id, 7), splits) AS INT)").alias("split"), F.col("id").cast("long").alias("id"), "embedding", F.lit(None).cast("binary").alias("blob"))
+    asked = dealt.select("label", "dim", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard"), F.expr("CAST(pmod(xxhash64(id, 7), splits) AS INT)").alias("split"), "id", "embedding", F.lit(None).cast("binary").alias("blob"))
     keys = ["label", "dim", "shard", "split"]
     met = graphs.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, F.col("id").asc_nulls_first())
     found = _util.materialize(met.mapInArrow(lambda it: _asked(it, least), "a long, b long, n long"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     components = _graph.components(found.where("b IS NOT NULL").select("a", "b"))
-    of = classes.join(counts, "id", "left").join(components, "id", "left").select("label", "embedding", F.expr("coalesce(links, 0) + n - 1").alias("links"), F.coalesce("component", "id").alias("component"))
+    nodes = classes.join(counts, "id", "left").join(components, "id", "left").withColumn("node", F.coalesce("component", "id"))
+    firsts = nodes.groupBy("node").agg(F.min("first").alias("component_id"))
+    of = nodes.join(firsts, "node").select("label", "embedding", F.expr("coalesce(links, 0) + n - 1").alias("links"), F.col("component_id").alias("component"))
     # classes are met again by a hash of their vectors, and by these themselves
     hashed = F.xxhash64("label", "embedding")
     left = v.withColumn("h", F.when(F.expr(fine), hashed))

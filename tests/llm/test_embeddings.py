@@ -51,3 +51,18 @@ def test_recall():
     true = set(zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.93)), strict=True))
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     assert found <= true and len(found) >= 0.97 * len(true)
+
+
+def test_repeated_vec_ids_and_several_shards(spark):
+    """Different vectors of one vec_id are linked; several shards of more than 64 vectors, searched by graph, give all pairs."""
+    two = [(5, [1.0, 0.0], 1), (5, [1.0, 0.04], 1), (7, [0.0, 1.0], 1)]
+    got = embeddings.near_vectors(spark.createDataFrame(two, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 1, 5), (5, 1, 5), (7, 0, 7)]
+    r = np.random.default_rng(4)
+    base = r.normal(size=(150, 16))
+    x = np.concatenate([base, base[r.integers(0, 150, 450)] + r.normal(size=(450, 16)) * 0.2])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    got = {g.vec_id: g.n_links for g in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=200).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T >= embeddings.COSINE).sum(1) - 1).tolist()
+    assert sum(want) > 300 and sum(got.values()) >= 0.98 * sum(want) and all(got[k] <= w for k, w in enumerate(want))
