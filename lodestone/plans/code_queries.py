@@ -244,11 +244,17 @@ def clones(f: Facts, min_tokens: int = 24) -> DataFrame:
 
 
 def near_clones(f: Facts, min_tokens: int = 24, max_diff: int = 2) -> DataFrame:
-    """Leaves differ in one to max_diff places. Bodies of one skeleton have equally many leaves."""
-    b = f.bodies.where(F.col("tokens") >= min_tokens).withColumn("at", F.concat("qpath", F.lit("@"), _at()))
-    small = b.join(b.groupBy("skeleton").agg(F.count("*").alias("_n")).where(f"_n BETWEEN 2 AND {pairs.BUCKET}"), "skeleton")
-    x, y = (small.select(F.sha2("skeleton", 256).alias("skeleton"), F.col("at").alias(k), F.col("leaves").alias(f"_{k}"), F.col("name").alias(f"{k}_name"), text.dir_of(F.col("file")).alias(f"{k}_dir"), "tokens", F.col("in_trait_impl").alias(f"{k}_trait")) for k in "ab")
-    edges = x.join(y.drop("tokens"), "skeleton").where("a < b").withColumn("diffs", F.size(F.filter(F.zip_with("_a", "_b", lambda p, q: ~p.eqNullSafe(q)), lambda d: d))).where(f"diffs BETWEEN 1 AND {max_diff}")
+    """Pairs of bodies of one skeleton, of any number, whose leaves differ in one to max_diff places.
+
+    Bodies of one skeleton have equally many leaves; those of a pair agree in one of max_diff + 1 blocks of them at least, by which they meet.
+    """
+    b = f.bodies.where(F.col("tokens") >= min_tokens).withColumn("at", F.concat("qpath", F.lit("@"), _at())).withColumn("skeleton", F.sha2("skeleton", 256))
+    cut = f"CAST(floor(size(leaves) * {{}} / {max_diff + 1}) AS INT)"
+    blocks = ", ".join(f"struct({k} AS k, xxhash64(slice(leaves, {cut.format(k)} + 1, {cut.format(k + 1)} - {cut.format(k)})) AS v)" for k in range(max_diff + 1))
+    b = b.withColumn("_block", F.explode(F.expr(f"array({blocks})")))
+    x, y = (b.select("skeleton", "_block", F.col("at").alias(k), F.col("leaves").alias(f"_{k}"), F.col("name").alias(f"{k}_name"), text.dir_of(F.col("file")).alias(f"{k}_dir"), "tokens", F.col("in_trait_impl").alias(f"{k}_trait")) for k in "ab")
+    edges = x.join(y.drop("tokens"), ["skeleton", "_block"]).where("a < b").withColumn("diffs", F.size(F.filter(F.zip_with("_a", "_b", lambda p, q: ~p.eqNullSafe(q)), lambda d: d))).where(f"diffs BETWEEN 1 AND {max_diff}")
+    edges = edges.dropDuplicates(["skeleton", "a", "b"])
     score = scores.near_clones(F.col("diffs"), max_diff, F.col("tokens"), F.col("a_name") == F.col("b_name"), F.col("a_dir") == F.col("b_dir"), F.col("a_trait") & F.col("b_trait"))
     return edges.select("skeleton", "a", "b", "diffs", "tokens", F.round(score, 6).alias("score"))
 

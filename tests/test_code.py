@@ -189,3 +189,11 @@ def test_scan_from_disk_reuses_facts(spark, tmp_path):
     (tmp_path / "src" / "new.rs").write_text("pub fn c() {}\n")
     second = Facts.scan(spark, str(tmp_path), stored=first.rows)
     assert rows(second.defns, "qpath") == [("a",), ("new::c",)]
+
+
+def test_near_clones_of_many_bodies(spark):
+    """All bodies of one skeleton are compared, however many; each pair comes once."""
+    body = "fn f{k}(a: u32) -> u32 {{ let b = a + {x}; let c = b * {y}; let d = c - 7; let e = d + a; let g = e * b; g + c + d + {z} }}"
+    src = "\n".join(body.format(k=k, x=1, y=2, z=100 + k) for k in range(20)) + "\n" + body.format(k=99, x=50, y=60, z=70)
+    got = q.near_clones(Facts.of(spark, {"src/lib.rs": src})).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) == 20 * 19 // 2 and {r.diffs for r in got} == {1}
