@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -14,12 +15,11 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python; a batch of the longest texts stays within some tens of MB.
 BATCH_ROWS = 512
-TOKENIZERS = "/opt/tokenizers"
 
 
-def tokenizer_path(name: str, home: str = TOKENIZERS) -> str:
-    """Place of a public tokenizer file; `home` is the folder that holds them."""
-    return f"{home}/{name}"
+def tokenizer_path(name: str, home: str | None = None) -> str:
+    """Place of a public tokenizer file: in the folder `home`, or where the package that holds them says."""
+    return f"{home}/{name}" if home else public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
