@@ -45,8 +45,12 @@ def _one(a: np.ndarray, b: np.ndarray) -> int:
     return score
 
 
-def _together(pairs: list[tuple[np.ndarray, np.ndarray]], wide: int) -> np.ndarray:
-    """Distances of pairs whose shorter strings take so many words; the second strings fall in length."""
+def _together(pairs: list[tuple[np.ndarray, np.ndarray]], wide: int, most: np.ndarray) -> np.ndarray:
+    """Whether pairs whose shorter strings take so many words are at most so far apart; the second strings fall in length.
+
+    Only words that hold places which a way of so few edits can pass are counted. What lies before and behind them is taken to rise by one at each step, which is never too
+    little, so distances within `most` come out right and others too large. Pairs whose distance can't fall to `most` any more are given up.
+    """
     count = len(pairs)
     m, n = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
     symbols, flat = np.unique(np.concatenate([x for p in pairs for x in p]), return_inverse=True)
@@ -63,27 +67,50 @@ def _together(pairs: list[tuple[np.ndarray, np.ndarray]], wide: int) -> np.ndarr
     for k in range(int(m.max())):
         on = m > k
         where[base[on] + a[on, k], k >> 6] |= _1 << np.uint64(k & 63)
-    score, last = m.astype(np.int64), ((m - 1) & 63).astype(np.uint64)
+    last = ((m - 1) & 63).astype(np.uint64)
     up, down = np.full((wide, count), ~np.uint64(0)), np.zeros((wide, count), np.uint64)
-    live = np.searchsorted(-n, -np.arange(1, int(n.max()) + 1), side="right")
     b += base[:, None]
     b = np.ascontiguousarray(b.T)
-    for j, c in enumerate(live.tolist()):
-        eqs = where[b[j, :c]]
+    # a way of `most` edits strays from the diagonal so far down and so far up
+    below, above = int(((most - n + m) // 2).max(initial=0)), int(((most + n - m) // 2).max(initial=0))
+    out, own, limit = np.zeros(count, bool), np.arange(count), most
+    first, low = 0, 0
+    score = last.astype(np.int64) + 1 if wide == 1 else np.full(count, 64)
+    columns = int(n.max())
+    live = np.searchsorted(-n, -np.arange(1, columns + 1), side="right")
+    for j in range(columns):
+        c = int(live[j])
+        if not c:
+            break
+        while low < wide - 1 and 64 * (low + 1) - j <= below:
+            low += 1
+            score[:c] += 64 if low < wide - 1 else last[:c].view(np.int64) + 1
+        while j + 1 - 64 * (first + 1) > above:
+            first += 1
+        eqs = where[b[j, :c], first : low + 1]
         p_in, m_in = np.ones(c, np.uint64), np.zeros(c, np.uint64)
-        for w in range(wide):
-            eq, pv, mv = eqs[:, w], up[w, :c], down[w, :c]
+        for w in range(first, low + 1):
+            eq, pv, mv = eqs[:, w - first], up[w, :c], down[w, :c]
             xv = eq | mv
             eq = eq | m_in
             xh = (((eq & pv) + pv) ^ pv) | eq
             ph, mh = mv | ~(xh | pv), pv & xh
-            if w == wide - 1:
-                score[:c] += ((ph >> last[:c]) & _1).view(np.int64) - ((mh >> last[:c]) & _1).view(np.int64)
+            if w == low:
+                bit = last[:c] if w == wide - 1 else _63
+                score[:c] += ((ph >> bit) & _1).view(np.int64) - ((mh >> bit) & _1).view(np.int64)
             p_out, m_out = ph >> _63, mh >> _63
             ph, mh = ph << _1 | p_in, mh << _1 | m_in
             up[w, :c], down[w, :c] = mh | ~(xv | ph), ph & xv
             p_in, m_in = p_out, m_out
-    return score
+        ended = int(live[j + 1]) if j + 1 < columns else 0
+        out[own[ended:c]] = score[ended:c] <= limit[ended:c]
+        if j & 15 == 15 and low == wide - 1 and ended:
+            keep = np.flatnonzero(score[:ended] - (n[:ended] - j - 1) <= limit[:ended])
+            if len(keep) < 0.8 * ended:
+                own, limit, last, score, n = (x[keep] for x in (own, limit, last, score, n))
+                up, down, b = up[:, keep], down[:, keep], b[:, keep]
+                live = np.searchsorted(-n, -np.arange(1, columns + 1), side="right")
+    return out
 
 
 def _far(a: np.ndarray, b: np.ndarray, most: int) -> bool:
@@ -127,5 +154,5 @@ def within(s: list[str], t: list[str], share: float, sieve: bool = False) -> np.
         for i in range(0, len(group), size):
             part = group[i : i + size]
             own = np.array([x[0] for x in part])
-            out[own] = _together([x[1:] for x in part], wide) <= most[own]
+            out[own] = _together([x[1:] for x in part], wide, most[own])
     return out

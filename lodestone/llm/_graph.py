@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from . import _util
 from ._hash import mix
 
+#: Edges up to which one task finds their components.
+ONE_TASK = 1 << 21
+#: Rows of a side of a block of pairs, and rows whose pairs a task looks for together.
+BLOCK, TOGETHER = 256, 1 << 14
+#: Pairs for each entry of a bucket up to which no further leaders are taken, for links that blocks look for.
+DENSE = 64
 #: Members of a bucket that all others are compared with first.
 LEADERS = 4
 #: Entries of buckets that a task holds at a time, about.
@@ -21,10 +27,34 @@ ENTRIES = 1 << 21
 _ALONE, _HAS_MATES, _MATE = 0, 1, 2
 
 
+def roots(a: np.ndarray, b: np.ndarray, many: int) -> np.ndarray:
+    """Of each of the nodes 0, 1, ... the smallest that the edges (a, b) link it with."""
+    least = np.arange(many)
+    while len(a):
+        x, y = least[a], least[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (least != least[least]).any():
+            least = least[least]
+    return least
+
+
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, component of all edges (v, u)."""
+    found = [np.zeros((2, 0), np.int64), *(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches)]
+    v, u = np.concatenate(found, axis=1)
+    v, u = v[v != u], u[v != u]
+    nodes, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+    component = nodes[roots(at[: len(v)], at[len(v) :], len(nodes))]
+    for k in range(0, len(nodes), 1 << 16):
+        yield pa.record_batch([pa.array(nodes[k : k + (1 << 16)]), pa.array(component[k : k + (1 << 16)])], ["id", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component: of each node of edges(a, b) the smallest node that it is linked with.
 
-    Large-star and small-star steps: each node's larger, then its smaller neighbours are linked with its smallest one, until every
+    Up to ONE_TASK edges go to one task. More take large-star and small-star steps: each node's larger, then its smaller neighbours are linked with its smallest one, until every
     component is a star around its smallest node. A step is an aggregate and a join; its edges are written to the shared
     folder, and whether they changed is seen while they are written. Those of the step before are deleted.
     """
@@ -35,6 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
         if before is not None:
             _util.discard(before)
         before = pairs
+        if 0 < seen["n"] <= ONE_TASK:
+            return pairs.coalesce(1).mapInArrow(_at_once, "id long, component long")
         if seen == last or not seen["n"]:
             break
         last = seen
@@ -115,6 +147,99 @@ def shared_buckets(classes: DataFrame, entries: int) -> DataFrame:
     return rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, of about TOGETHER rows, and the groups' bounds. Rows come sorted by the first so many columns, longs."""
+    rest, many = [], 0
+    for b in batches:
+        rest.append(b)
+        many += len(b)
+        if many < TOGETHER:
+            continue
+        table = pa.Table.from_batches(rest).combine_chunks()
+        bounds = _bounds(table, keys)
+        if len(bounds) > 2:
+            yield table.slice(0, bounds[-2]), bounds[:-1]
+            table = table.slice(bounds[-2])
+        rest, many = table.to_batches(), len(table)
+    if many:
+        table = pa.Table.from_batches(rest).combine_chunks()
+        yield table, _bounds(table, keys)
+
+
+def _bounds(table: pa.Table, keys: int) -> np.ndarray:
+    new = np.zeros(len(table), bool)
+    new[0] = True
+    for k in range(keys):
+        c = table.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.r_[np.flatnonzero(new), len(table)]
+
+
+def _first_shared(lists: pa.ListArray, i: np.ndarray, j: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Whether each pair of rows shares no bucket less than its own one."""
+    starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    size = np.diff(starts)
+    out = np.zeros(len(i), bool)
+    step = max(1, (1 << 23) // max(1, int(size.max(initial=0)) ** 2))
+    for k in range(0, len(i), step):
+        a, b, own = i[k : k + step], j[k : k + step], bucket[k : k + step]
+        x, y = (np.arange(size[r].max()) for r in (a, b))
+        ours, theirs = (flat[np.minimum(starts[r][:, None] + c, len(flat) - 1)] for r, c in ((a, x), (b, y)))
+        less = (ours < own[:, None]) & (x < size[a][:, None])
+        theirs_less = (theirs < own[:, None]) & (y < size[b][:, None])
+        out[k : k + step] = ~((ours[:, :, None] == theirs[:, None, :]) & less[:, :, None] & theirs_less[:, None, :]).any((1, 2))
+    return out
+
+
+def looked_for(batches: Iterator[pa.RecordBatch], met: Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], within: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """a, b: links that join what the pairs of rows of blocks (bucket, xs, ys, role, id, component, out, buckets, ...) join.
+
+    A block pairs its rows of role 0, outsiders, with those of role 1. met gives the pairs of such rows that may be linked, the likeliest of each of the first rows at first, and within whether
+    they are. Some of each outsider's pairs are compared at a time, and those left out whose rows were joined meanwhile, as their link would join nothing.
+    """
+    for table, bounds in _groups(batches, 3):
+        role, ids, out = (table.column(c).to_numpy() for c in ("role", "id", "out"))
+        buckets, lists = table.column("bucket").to_numpy(), table.column("buckets").combine_chunks()
+        names, of = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            middle = a + int(np.searchsorted(role[a:b], 1))
+            i, j = met(table, np.arange(a, middle), np.arange(middle, b))
+            on = (of[i] != of[j]) & (~out[j] | (ids[i] < ids[j]))
+            found.append((i[on], j[on]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        on = _first_shared(lists, i, j, buckets[i])
+        i, j = i[on], j[on]
+        root, some = np.arange(len(names)), 4
+        while len(i):
+            # pairs of one outsider lie together
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            now = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < some
+            x, y = i[now], j[now]
+            alike = within(table, x, y)
+            x, y = x[alike], y[alike]
+            if len(x):
+                yield pa.record_batch([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
+                root = roots(np.r_[root, of[x]], np.r_[np.arange(len(names)), of[y]], len(names))
+            left = ~now & (root[of[i]] != root[of[j]])
+            i, j, some = i[left], j[left], some * 2
+
+
+def in_blocks(rest: DataFrame, schema: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What run makes of the blocks of rest(bucket, id, component, out, buckets, ...): each bucket's outsiders and its members, dealt over blocks of about BLOCK."""
+    sizes = rest.groupBy("bucket").agg(F.expr(f"CAST(ceil(count_if(out) / {BLOCK}) AS INT)").alias("_xs"), F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS INT)").alias("_ys"))
+    own = rest.join(sizes, "bucket")
+    keys = ["bucket", "xs", "ys", "role"]
+
+    def dealt(rows: DataFrame, role: int, mine: str, others: str) -> DataFrame:
+        rows = rows.withColumn(mine, F.expr(f"pmod(xxhash64(id, {role}), _{mine})")).withColumn(others, F.explode(F.expr(f"sequence(0L, _{others} - 1L)"))).withColumn("role", F.lit(role).cast("long"))
+        return rows.select(*keys, *[c for c in rest.columns if c != "bucket"])
+
+    blocks = dealt(own.where("out"), 0, "xs", "ys").unionByName(dealt(own.where("_xs > 0"), 1, "ys", "xs"))
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(parts, *keys[:3]).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
     """of(id, component) after further links(a, b): what they join are components already."""
     a, b = of.toDF("a", "_a"), of.toDF("b", "_b")
@@ -123,12 +248,13 @@ def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
     return _util.materialize(of.unionByName(ends).join(joined, "component", "left").select("id", F.coalesce("_merged", "component").alias("component")))
 
 
-def linked(members: DataFrame, buckets: DataFrame, alike: Callable[[str], str], cell: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(members: DataFrame, buckets: DataFrame, alike: Callable[[str], str], cell: str, verify: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """id, component: those of all links between two members of one bucket, for each id that has one; component is the smallest id.
 
     members: bucket, id, size and what `alike(prefix)` and `cell` need; buckets: id, and `buckets`, all of its buckets. alike gives SQL
     that must hold for a linked pair of rows, cell an integer that differs by 1 at most between linked rows, and verify keeps the linked
-    ones of pairs (a, b).
+    ones of pairs (a, b). blocks, where given, finds links that join what the pairs left at the end join: of (bucket, id, component, out, buckets
+    and the values), by in_blocks().
 
     In each bucket all are compared with the few members that share most buckets with others, the most central. Two members
     then are in one component already, or one of them is outside the bucket's largest component. While such outsiders would make many pairs,
@@ -162,8 +288,12 @@ def linked(members: DataFrame, buckets: DataFrame, alike: Callable[[str], str],
         now = rest
         if not seen["n"]:
             return of
-        if found < seen["n"] / 20 or main.agg(F.sum("left")).first()[0] <= 2 * all_members:
+        if found < seen["n"] / 20 or main.agg(F.sum("left")).first()[0] <= (DENSE if blocks else 2) * all_members:
             break
+    if blocks:
+        links, seen = _util.materialize_seen(blocks(now.join(buckets, "id").select("bucket", "id", "component", "out", "buckets", *values)), F.count("*").alias("n"))
+        _util.discard(now)
+        return _merged(of, links) if seen["n"] else of
     now = now.join(buckets, "id").select("bucket", "id", *values, "component", "buckets", F.expr(f"CAST({cell} AS INT)").alias("cell"), "out")
     now = _util.materialize(now)
     y = now.select("bucket", "cell", *[F.col(c).alias(f"y_{c}") for c in now.columns if c not in ("bucket", "cell")])

@@ -225,6 +225,45 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(some)
 
 
+def _may_meet(rows: pa.Table, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What _may_be_alike() leaves of the pairs of rows x and rows y (of n, bits, letters); of each x those of the nearest length first."""
+    n, bits, letters = (rows.column(c) for c in ("n", "bits", "letters"))
+    n = n.to_numpy()
+    y = y[np.argsort(n[y], kind="stable")]
+    share = SIMILARITY - 1e-9
+    low, high = np.searchsorted(n[y], np.floor(n[x] * share) - 1), np.searchsorted(n[y], np.ceil(n[x] / share) + 1, side="right")
+    many = high - low
+    i = np.repeat(x, many)
+    j = y[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
+    most = np.floor(np.maximum(n[i], n[j]) * (1 - SIMILARITY) + 1e-9)
+    apart = np.abs(n[i] - n[j])
+    hashed, words = bits.is_valid().to_numpy(), bits.fill_null(0).to_numpy()
+    on = (apart <= most) & (~(hashed[i] & hashed[j]) | (np.bitwise_count(words[i].view(np.uint64) ^ words[j].view(np.uint64)) <= BITS))
+    i, j, most, apart = i[on], j[on], most[on], apart[on]
+    few, kinds = letters.is_valid().to_numpy(), letters.fill_null(0).to_numpy().view(np.uint64)
+    both = np.flatnonzero(few[i] & few[j])
+    a, b, sum_ = kinds[i[both]], kinds[j[both]], np.zeros(len(both), np.int64)
+    for k in range(16):
+        sum_ += np.abs((a >> np.uint64(4 * k) & np.uint64(15)).astype(np.int64) - (b >> np.uint64(4 * k) & np.uint64(15)).astype(np.int64))
+    on = np.ones(len(i), bool)
+    on[both] = sum_ <= 2 * most[both]
+    i, j, apart = i[on], j[on], apart[on]
+    order = np.lexsort((apart, i))
+    return i[order], j[order]
+
+
+def _rows_alike(rows: pa.Table, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the lines of pairs of rows have the edit similarity."""
+    line, n = rows.column("line"), rows.column("n").to_numpy()
+    size = np.cumsum(n[x] + n[y]) // (EDITED // 4)
+    bounds = np.r_[np.flatnonzero(np.r_[True, size[1:] != size[:-1]]), len(x)] if len(x) else np.zeros(1, np.int64)
+    out = [np.zeros(0, bool)]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        s, t = (line.take(pa.array(r[a:b])).to_pylist() for r in (x, y))
+        out.append(_edits.within(s, t, 1 - SIMILARITY))
+    return np.concatenate(out)
+
+
 def _may_be_alike(y: str) -> str:
     """SQL: false for pairs of lines that their lengths, SimHashes or letters keep apart. An edit takes one letter away at most, and adds one at most."""
     most = f"floor(greatest(n, {y}n) * {1 - SIMILARITY:.6f}D + 1e-9D)"
@@ -248,7 +287,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
         s, t = texts.toDF("a", "s"), texts.toDF("b", "t")
         return pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_alike, "a long, b long")
 
-    of = _graph.linked(met, classes.select("id", "buckets"), _may_be_alike, f"floor(ln(n) / {-math.log(SIMILARITY - 1e-4)!r}D)", verify)
+    def blocks(rest: DataFrame) -> DataFrame:
+        return _graph.in_blocks(rest.join(texts, "id"), "a long, b long", lambda it: _graph.looked_for(it, _may_meet, _rows_alike))
+
+    of = _graph.linked(met, classes.select("id", "buckets"), _may_be_alike, f"floor(ln(n) / {-math.log(SIMILARITY - 1e-4)!r}D)", verify, blocks)
     groups = classes.select("id", "c1", "c2", "first").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = groups.groupBy("component").agg(F.min("first").alias("first"))
     named = groups.select("c1", "c2", "component").join(first, "component").select("c1", "c2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), F.col("first.rid").alias("_rid"))
