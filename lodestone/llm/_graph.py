@@ -22,7 +22,7 @@ DENSE = 64
 #: Members of a bucket that all others are compared with first.
 LEADERS = 4
 #: Entries of buckets that a task holds at a time, about.
-ENTRIES = 1 << 21
+ENTRIES = 1 << 20
 #: Kinds of entry: the one of its bucket in a task, with no other id there or with some, and such another.
 _ALONE, _HAS_MATES, _MATE = 0, 1, 2
 
@@ -192,9 +192,9 @@ def _first_shared(lists: pa.ListArray, i: np.ndarray, j: np.ndarray, bucket: np.
 
 
 def looked_for(batches: Iterator[pa.RecordBatch], met: Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], within: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """a, b: links that join what the pairs of rows of blocks (bucket, xs, ys, role, id, component, out, buckets, ...) join.
+    """a, b: links that join what the links among all pairs of blocks (bucket, xs, ys, role, id, component, out, buckets, ...) join.
 
-    A block pairs its rows of role 0, outsiders, with those of role 1. met gives the pairs of such rows that may be linked, the likeliest of each of the first rows at first, and within whether
+    A block pairs its rows of role 0, outsiders, with those of role 1. met gives the pairs that may be linked, those of one outsider together and the likeliest first; within says whether
     they are. Some of each outsider's pairs are compared at a time, and those left out whose rows were joined meanwhile, as their link would join nothing.
     """
     for table, bounds in _groups(batches, 3):

@@ -199,7 +199,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 #: Characters of lines whose edits are counted at a time.
-EDITED = 1 << 24
+EDITED = 1 << 22
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +218,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         some.append(b)
         size += b.nbytes
-        if size > (EDITED if linked < 1 else EDITED // 16):
+        if size > EDITED:
             yield from done(some)
             some, size = [], 0
     if some:
@@ -255,7 +255,7 @@ def _may_meet(rows: pa.Table, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
 def _rows_alike(rows: pa.Table, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the lines of pairs of rows have the edit similarity."""
     line, n = rows.column("line"), rows.column("n").to_numpy()
-    size = np.cumsum(n[x] + n[y]) // (EDITED // 4)
+    size = np.cumsum(n[x] + n[y]) // EDITED
     bounds = np.r_[np.flatnonzero(np.r_[True, size[1:] != size[:-1]]), len(x)] if len(x) else np.zeros(1, np.int64)
     out = [np.zeros(0, bool)]
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
