@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words of 64 characters of the shorter string up to which pairs are done together; bytes of their tables.
-WIDE, TABLES = 20, 1 << 24
+WIDE, TABLES = 20, 1 << 23
 _1 = np.uint64(1)
 _63 = np.uint64(63)
 

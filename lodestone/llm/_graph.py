@@ -22,7 +22,7 @@ DENSE = 64
 #: Members of a bucket that all others are compared with first.
 LEADERS = 4
 #: Entries of buckets that a task holds at a time, about.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 19
 #: Kinds of entry: the one of its bucket in a task, with no other id there or with some, and such another.
 _ALONE, _HAS_MATES, _MATE = 0, 1, 2
 

@@ -11,7 +11,7 @@ from ._hash import mix
 from .repeats import Hashed
 
 #: Characters of texts taken at a time; a longer text is cut at a line feed.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _MARKS = " .,;:!?\"'()[]{}<>*#$%&|-_/\\"
 _WIDE_MARKS = "«»„“”’‘…¡¿–—"
 _WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

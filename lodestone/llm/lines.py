@@ -199,7 +199,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 #: Characters of lines whose edits are counted at a time.
-EDITED = 1 << 22
+EDITED = 1 << 21
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
