@@ -15,6 +15,9 @@ NEAREST = 10
 #: Neighbours in upper layers and in the lowest, beam while building, nodes inserted at a time, queries searched at a time.
 DEGREE, DEGREE_0, BUILD_BEAM, INSERTED, QUERIES = 12, 24, 48, 256, 512
 
+#: Cosines with all vectors that are held at a time.
+COSINES = 1 << 22
+
 
 class Graph:
     def __init__(self, vectors: np.ndarray):
@@ -167,7 +170,12 @@ class Graph:
         return np.concatenate([np.zeros(0, np.int64), *found_q]), self.order[np.concatenate([np.zeros(0, np.int64), *found_v])]
 
     def _all(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        return np.nonzero(q @ self.exact.T >= least)
+        step = max(1, COSINES // max(1, len(self.exact)))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k in range(0, len(q), step):
+            a, b = np.nonzero(q[k : k + step] @ self.exact.T >= least)
+            found.append((a + k, b))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def _audited(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """The pairs in range of vectors that are not equal."""

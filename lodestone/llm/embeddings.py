@@ -20,8 +20,8 @@ from . import _graph, _util
 from ._hnsw import QUERIES, Graph
 
 COSINE = 0.93
-#: Vectors in a shard, and queries that one task puts to it, about.
-SHARD, SPLIT = 8192, 32_768
+#: Numbers in the vectors of a shard (32768 vectors of 64), and queries that one task puts to it, about.
+VALUES, SPLIT = 1 << 21, 32_768
 
 
 def _dump(arrays: list[np.ndarray]) -> bytes:
@@ -99,13 +99,13 @@ def _asked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             yield pa.record_batch([pa.concat_arrays([pa.array(own[some]), pa.array(x)]), pa.concat_arrays([none, pa.array(y)]), pa.concat_arrays([pa.array(linked[some]), pa.nulls(len(x), pa.int64())])], ["a", "b", "n"])
 
 
-def near_vectors(df: DataFrame, least: float = COSINE, shard: int = SHARD) -> DataFrame:
+def near_vectors(df: DataFrame, least: float = COSINE, shard: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of df(vec_id, embedding, label, ...).
 
     Vectors of one label and length are linked if their cosine is at least `least`. A vector without label, or that is null,
     empty, zero or holds a null or non-finite component, links with nothing. n_links counts the other rows linked directly,
     component_id is the smallest vec_id reachable, and kept is whether that is the vector's own. Rows with one vec_id each count.
-    A row without vec_id links with nothing.
+    A row without vec_id links with nothing. shard: vectors in a shard, or as many as make VALUES numbers; each vector is searched in every shard of its label.
     """
     spark = df.sparkSession
     _util.small_batches(spark, 2048)
@@ -115,7 +115,7 @@ def near_vectors(df: DataFrame, least: float = COSINE, shard: int = SHARD) -> Da
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
     # classes have ids of their own, as different vectors may have one vec_id
     classes = _util.materialize(classes.withColumn("id", F.monotonically_increasing_id()))
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size")).select("label", "dim", F.expr(f"CAST(ceil(size / {shard}) AS INT)").alias("shards"), F.expr(f"CAST(ceil(size / {SPLIT}) AS INT)").alias("splits"))
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size")).select("label", "dim", F.expr(f"CAST(ceil(size / {shard or f'greatest(1, {VALUES} div dim)'}) AS INT)").alias("shards"), F.expr(f"CAST(ceil(size / {SPLIT}) AS INT)").alias("splits"))
     dealt = classes.join(sizes, ["label", "dim"]).withColumn("own", F.expr("CAST(pmod(xxhash64(id), shards) AS INT)"))
     built = dealt.select("label", "dim", F.col("own").alias("shard"), "id", "n", "embedding").groupBy("label", "dim", "shard").applyInArrow(_built, f"label {df.schema['label'].dataType.simpleString()}, dim int, shard int, blob binary")
     built = _util.materialize(built)

@@ -66,3 +66,20 @@ def test_repeated_vec_ids_and_several_shards(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = ((u @ u.T >= embeddings.COSINE).sum(1) - 1).tolist()
     assert sum(want) > 300 and sum(got.values()) >= 0.98 * sum(want) and all(got[k] <= w for k, w in enumerate(want))
+
+
+def test_shards_hold_more_than_a_few_thousand_vectors(spark, monkeypatch):
+    """A label of 9000 short vectors is one shard, so that each is searched once; blocks of all cosines are bounded."""
+    built = []
+    write = embeddings._util.materialize
+    monkeypatch.setattr(embeddings._util, "materialize", lambda df: built.append(write(df)) or built[-1])
+    r = np.random.default_rng(2)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(r.normal(size=(9000, 8)))]
+    embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert [b.count() for b in built if "blob" in b.columns] == [1]
+    monkeypatch.setattr("lodestone.llm._hnsw.COSINES", 700)
+    x = r.normal(size=(300, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = Graph(x)
+    a, b = got._all(x, 0.93)
+    assert sorted(zip(a.tolist(), got.order[b].tolist(), strict=True)) == sorted(zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.93)), strict=True))
