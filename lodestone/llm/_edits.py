@@ -1,158 +1,161 @@
-"""Edit distances of many pairs of strings at once, by bit vectors of whole columns of their matrix."""
+"""Edit distances of many pairs of strings at once, by the places that so many edits reach on the diagonals of their matrix."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Words of 64 characters of the shorter string up to which pairs are done together; bytes of their tables.
-WIDE, TABLES = 20, 1 << 23
+#: Blocks of 64 diagonals up to which pairs are done together, and places of a table of them.
+WIDE, TABLES = 20, 1 << 16
+#: Kinds of runs of three symbols that are counted together, and symbols of a string for one of them, at most.
+RUNS, FULL = 1 << 18, 3
+#: Symbols that a diagonal may lie behind the furthest one of its pair, where one way of few edits is looked for and not the least.
+BEHIND = 24
+#: Edits from which on that way is given up where it hardly comes on.
+TRIED = 6
 _1 = np.uint64(1)
-_63 = np.uint64(63)
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both without what they begin and end with alike; the shorter first."""
-    if len(a) > len(b):
-        a, b = b, a
-    differ = np.flatnonzero(a != b[: len(a)])
-    if not len(differ):
-        return a[:0], b[len(a) :]
-    a, b = a[differ[0] :], b[differ[0] :]
-    differ = np.flatnonzero(a != b[len(b) - len(a) :])
-    end = len(a) - 1 - differ[-1] if len(differ) else len(a)
-    return a[: len(a) - end], b[: len(b) - end]
-
-
-def _one(a: np.ndarray, b: np.ndarray) -> int:
-    """Distance of two long strings, in Python's integers."""
-    where: dict[int, int] = {}
-    for k, symbol in enumerate(a.tolist()):
-        where[symbol] = where.get(symbol, 0) | 1 << k
-    mask, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
-    up, down = mask, 0
-    for symbol in b.tolist():
-        eq = where.get(symbol, 0)
-        xv = eq | down
-        xh = (((eq & up) + up) ^ up) | eq
-        ph, mh = down | mask & ~(xh | up), up & xh
-        score += 1 if ph & top else -1 if mh & top else 0
-        ph, mh = ph << 1 | 1, mh << 1
-        up, down = (mh | ~(xv | ph)) & mask, ph & xv & mask
-    return score
-
-
-def _together(pairs: list[tuple[np.ndarray, np.ndarray]], wide: int, most: np.ndarray) -> np.ndarray:
-    """Whether pairs whose shorter strings take so many words are at most so far apart; the second strings fall in length.
-
-    Only words that hold places which a way of so few edits can pass are counted. What lies before and behind them is taken to rise by one at each step, which is never too
-    little, so distances within `most` come out right and others too large. Pairs whose distance can't fall to `most` any more are given up.
+class _Strings:
+    """Strings end to end, each with an end that equals nothing of the other side. words: at each place the symbols from there on that 64 bits hold; step: how many."""
+
+    def __init__(self, s: list[str], t: list[str]):
+        self.sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (s, t)]
+        codes = np.frombuffer("\0".join([*s, *t, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        seen = np.zeros(int(codes.max()) + 1, bool)
+        seen[codes] = True
+        kinds = int(np.count_nonzero(seen)) + 2
+        unit = np.dtype(np.uint8 if kinds <= 1 << 8 else np.uint16 if kinds <= 1 << 16 else np.uint32)
+        self.step = 8 // unit.itemsize
+        self._shift = np.uint8((8 * unit.itemsize).bit_length() - 1)
+        ends = np.cumsum(np.concatenate(self.sizes) + 1)
+        self.starts = np.split(ends - np.concatenate(self.sizes) - 1, [len(s)])
+        flat = np.zeros(len(codes) + self.step, unit)
+        flat[: len(codes)] = (np.cumsum(seen) + 1).astype(unit)[codes]
+        flat[ends[: len(s)] - 1], flat[ends[len(s) :] - 1] = 0, 1
+        self._last = len(codes) - 1
+        self.words = np.ndarray(len(codes), "<u8", flat, strides=(unit.itemsize,)).copy()
+        x = flat.astype(np.uint32)
+        self._runs = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(14)
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many symbols from places i and places j on are equal."""
+        x = self.words[i]
+        x ^= self.words[j]
+        on = np.flatnonzero(x == 0)
+        out = self._equal(x)
+        out[on] = self.step
+        wide = 4
+        while len(on):
+            # some words at a time; those past the ends lie behind an end, where the strings differ
+            at = out[on][:, None] + np.arange(0, wide * self.step, self.step)
+            x = self.words[np.minimum(i[on][:, None] + at, self._last)]
+            x ^= self.words[np.minimum(j[on][:, None] + at, self._last)]
+            apart = x != 0
+            first = apart.argmax(1)
+            rows = np.arange(len(on))
+            whole = ~apart[rows, first]
+            out[on] += np.where(whole, wide * self.step, first * self.step + self._equal(x[rows, first]))
+            on = on[whole]
+            wide = min(64, wide * 4)
+        return out
+
+    def _equal(self, x: np.ndarray) -> np.ndarray:
+        """How many symbols of two words are equal up to the first that are not, given their bits that differ."""
+        return (np.bitwise_count(x ^ (x - _1)) - np.uint8(1) >> self._shift).astype(np.int64)
+
+    def _counts(self, start: np.ndarray, size: np.ndarray, kinds: int) -> np.ndarray:
+        size = np.maximum(size - 2, 0)
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount((self._runs[at] & np.uint32(kinds - 1)) + np.repeat(np.arange(len(start)) * kinds, size), minlength=len(start) * kinds).reshape(-1, kinds)
+
+    def far(self, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether the runs of three symbols show that strings are more than so many edits apart, as each edit makes and breaks three at most. n falls from pair to pair or stays."""
+        out, k = np.zeros(len(a), bool), 0
+        while k < len(a):
+            kinds = min(RUNS, 1 << max(8, (int(n[k]) // FULL - 1).bit_length() + 2))
+            c = slice(k, k + RUNS // kinds)
+            apart = self._counts(a[c], m[c], kinds) - self._counts(b[c], n[c], kinds)
+            more = np.maximum(apart, 0).sum(1)
+            out[c] = np.maximum(more, more - apart.sum(1)) > 3 * most[c]
+            k = c.stop
+        return out
+
+
+def _together(strings: _Strings, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, most: np.ndarray, behind: int | None) -> np.ndarray:
+    """Whether strings of m symbols at places a and longer ones of n at b are at most so many edits apart.
+
+    Of each diagonal of a pair's matrix the furthest row that e edits reach is kept, for e = 0, 1, ...: one more than a neighbour's, or its own, and on along
+    equal symbols. Diagonals from which `most` edits can't come to the matrix's end are left out. With behind, those too that lie so much behind: then
+    what is found is within `most`, but not all is found.
     """
-    count = len(pairs)
-    m, n = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
-    symbols, flat = np.unique(np.concatenate([x for p in pairs for x in p]), return_inverse=True)
-    kinds = len(symbols)
-    a = np.zeros((count, 64 * wide), np.int64)
-    b = np.zeros((count, int(n.max())), np.int64)
-    at = 0
-    for k, (x, y) in enumerate(pairs):
-        a[k, : len(x)] = flat[at : at + len(x)]
-        b[k, : len(y)] = flat[at + len(x) : at + len(x) + len(y)]
-        at += len(x) + len(y)
-    base = np.arange(count) * kinds
-    where = np.zeros((count * kinds, wide), np.uint64)
-    for k in range(int(m.max())):
-        on = m > k
-        where[base[on] + a[on, k], k >> 6] |= _1 << np.uint64(k & 63)
-    last = ((m - 1) & 63).astype(np.uint64)
-    up, down = np.full((wide, count), ~np.uint64(0)), np.zeros((wide, count), np.uint64)
-    b += base[:, None]
-    b = np.ascontiguousarray(b.T)
-    # a way of `most` edits strays from the diagonal so far down and so far up
-    below, above = int(((most - n + m) // 2).max(initial=0)), int(((most + n - m) // 2).max(initial=0))
-    out, own, limit = np.zeros(count, bool), np.arange(count), most
-    first, low = 0, 0
-    score = last.astype(np.int64) + 1 if wide == 1 else np.full(count, 64)
-    columns = int(n.max())
-    live = np.searchsorted(-n, -np.arange(1, columns + 1), side="right")
-    for j in range(columns):
-        c = int(live[j])
-        if not c:
-            break
-        while low < wide - 1 and 64 * (low + 1) - j <= below:
-            low += 1
-            score[:c] += 64 if low < wide - 1 else last[:c].view(np.int64) + 1
-        while j + 1 - 64 * (first + 1) > above:
-            first += 1
-        eqs = where[b[j, :c], first : low + 1]
-        p_in, m_in = np.ones(c, np.uint64), np.zeros(c, np.uint64)
-        for w in range(first, low + 1):
-            eq, pv, mv = eqs[:, w - first], up[w, :c], down[w, :c]
-            xv = eq | mv
-            eq = eq | m_in
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph, mh = mv | ~(xh | pv), pv & xh
-            if w == low:
-                bit = last[:c] if w == wide - 1 else _63
-                score[:c] += ((ph >> bit) & _1).view(np.int64) - ((mh >> bit) & _1).view(np.int64)
-            p_out, m_out = ph >> _63, mh >> _63
-            ph, mh = ph << _1 | p_in, mh << _1 | m_in
-            up[w, :c], down[w, :c] = mh | ~(xv | ph), ph & xv
-            p_in, m_in = p_out, m_out
-        ended = int(live[j + 1]) if j + 1 < columns else 0
-        out[own[ended:c]] = score[ended:c] <= limit[ended:c]
-        if j & 15 == 15 and low == wide - 1 and ended:
-            keep = np.flatnonzero(score[:ended] - (n[:ended] - j - 1) <= limit[:ended])
-            if len(keep) < 0.8 * ended:
-                own, limit, last, score, n = (x[keep] for x in (own, limit, last, score, n))
-                up, down, b = up[:, keep], down[:, keep], b[:, keep]
-                live = np.searchsorted(-n, -np.arange(1, columns + 1), side="right")
-    return out
-
-
-def _far(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Whether the runs of three characters show that strings are more than so many edits apart, as each edit makes and breaks three at most."""
-
-    kinds = 1 << (10 if len(b) < 512 else 12 if len(b) < 8192 else 16)
-
-    def runs(x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.uint64)
-        return (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xBF58476D1CE4E5B9) + x[2:] * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)
-
-    counts = [np.bincount(runs(x).astype(np.int64) & kinds - 1, minlength=kinds) for x in (a, b)]
-    apart = counts[0] - counts[1]
-    return max(apart[apart > 0].sum(), -apart[apart < 0].sum()) > 3 * most
-
-
-def within(s: list[str], t: list[str], share: float, sieve: bool = False) -> np.ndarray:
-    """Whether each pair's edit distance is at most that share of the longer string's characters, rounded down. sieve: whether it pays to look for pairs that are far apart first."""
+    out, own, over = np.zeros(len(a), bool), np.arange(len(a)), np.zeros(len(a), bool)
+    more = n - m
+    low, high = int(((most - more) // 2).max()), int(((most + more) // 2).max())
+    diagonals = np.arange(-low, high + 1)
+    # a column at either side that nothing reaches
+    reach = np.full((len(a), low + high + 3), -(1 << 40))
+    reach[:, low + 1] = strings.alike(a, b)
+    e, start, stop = 0, -low, high
+    while True:
+        met = ~over & (reach[np.arange(len(own)), more + low + 1] >= m)
+        out[own[met]] = True
+        over |= met | (most <= e)
+        if over.sum() * 5 >= len(over):
+            own, a, b, m, n, most, more, reach, over = (x[~over] for x in (own, a, b, m, n, most, more, reach, over))
+            if not len(own):
+                return out
+        e += 1
+        # columns that so few edits reach, and from which the rest of them come to the end
+        first = max(start, -e, int((more - most).min()) + e)
+        last = min(stop, e, int((more + most).max()) - e)
+        if first > last:
+            return out
+        left, right = first + low + 1, last + low + 2
+        d = diagonals[left - 1 : right - 1]
+        row = np.maximum(reach[:, left:right], reach[:, left + 1 : right + 1])
+        row += 1
+        np.maximum(row, reach[:, left - 1 : right - 1], out=row)
+        np.minimum(row, np.minimum(m[:, None], n[:, None] - d), out=row)
+        if behind is not None:
+            along = 2 * row + d
+            most_along = along.max(1)
+            row[along < most_along[:, None] - 2 * behind] = -(1 << 40)
+            if e >= TRIED:
+                # of no use where it comes half as far as it should
+                row[most_along * most < (m + n) * e // 2] = -(1 << 40)
+        at, col = np.nonzero(row >= np.maximum(0, -d))
+        i = row[at, col]
+        x = a[at] + i
+        row[at, col] = i + strings.alike(x, x + (b - a)[at] + d[col])
+        reach[:, left:right] = row
+        if behind is not None:
+            if not len(col):
+                return out
+            reach[:, left - 1] = reach[:, right] = -(1 << 40)
+            start, stop = max(-low, first + int(col.min()) - 1), min(high, first + int(col.max()) + 1)
+
+
+def within(s: list[str], t: list[str], share: float, sieve: bool = True) -> np.ndarray:
+    """Whether each pair's edit distance is at most that share of the longer string's characters, rounded down. sieve: whether pairs that are far apart are looked for first."""
     out = np.zeros(len(s), bool)
-    groups: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-    most = np.zeros(len(s), np.int64)
-    for k, (x, y) in enumerate(zip(s, t, strict=True)):
-        a, b = _codes(x), _codes(y)
-        most[k] = int(max(len(a), len(b)) * share + 1e-9)
-        if abs(len(a) - len(b)) > most[k]:
-            continue
-        a, b = _trimmed(a, b)
-        if len(b) <= most[k]:
-            out[k] = True
-        elif not len(a):
-            pass
-        elif (sieve or len(a) > 64 * WIDE) and _far(a, b, most[k]):
-            pass
-        elif len(a) > 64 * WIDE:
-            out[k] = _one(a, b) <= most[k]
-        else:
-            groups.setdefault((len(a) + 63) // 64, []).append((k, a, b))
-    for wide, group in groups.items():
-        group.sort(key=lambda x: -len(x[2]))
-        size = max(1, min(1024, TABLES // (8 * wide * 128)))
-        for i in range(0, len(group), size):
-            part = group[i : i + size]
-            own = np.array([x[0] for x in part])
-            out[own] = _together([x[1:] for x in part], wide, most[own])
+    if not len(s):
+        return out
+    strings = _Strings(s, t)
+    swap = strings.sizes[0] > strings.sizes[1]
+    m, n = np.minimum(*strings.sizes), np.maximum(*strings.sizes)
+    a, b = (np.where(swap, x, y) for x, y in (strings.starts[::-1], strings.starts))
+    most = (n * share + 1e-9).astype(np.int64)
+    left = np.flatnonzero(n - m <= most)
+    left = left[np.argsort(-n[left], kind="stable")]
+    if sieve:
+        left = left[~strings.far(a[left], b[left], m[left], n[left], most[left])]
+    for behind in (BEHIND, None):
+        k = 0
+        while k < len(left):
+            # the first has the most diagonals
+            wide = int(most[left[k]]) + 1
+            now = left[k : k + (max(1, TABLES // wide) if wide <= 64 * WIDE else 1)]
+            out[now] = _together(strings, a[now], b[now], m[now], n[now], most[now], behind)
+            k += len(now)
+        left = left[~out[left]]
     return out

@@ -199,19 +199,15 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 #: Characters of lines whose edits are counted at a time.
-EDITED = 1 << 21
+EDITED = 1 << 20
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b of those of (a, b, s, t) whose lines have the edit similarity."""
 
-    linked = 1.0
-
     def done(some: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-        nonlocal linked
         b = pa.Table.from_batches(some).combine_chunks()
-        alike = _edits.within(b.column(2).to_pylist(), b.column(3).to_pylist(), 1 - SIMILARITY, linked < 0.5)
-        linked = alike.mean() if len(alike) else linked
+        alike = _edits.within(b.column(2).to_pylist(), b.column(3).to_pylist(), 1 - SIMILARITY)
         return b.filter(pa.array(alike)).select(["a", "b"]).combine_chunks().to_batches()
 
     some, size = [], 0
