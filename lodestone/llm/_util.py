@@ -47,9 +47,15 @@ def materialize(df: DataFrame, parts: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
     (df.coalesce(parts) if parts else df).write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done with: it does so where the driver finds them to be garbage, for which it would have to be short of memory."""
+    spark._jvm.System.gc()
+
+
 def materialize_seen(df: DataFrame, *what: Column) -> tuple[DataFrame, dict]:
     """materialize(), and aggregates of the rows, taken while they are written."""
     seen = Observation()

@@ -274,6 +274,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     scanned = _util.materialize(_scanned(docs).withColumn("rid", F.monotonically_increasing_id()))
     classes = scanned.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no", "rid", "h")).alias("first"), F.first("buckets").alias("buckets"), F.first("n_chars").alias("n"), F.first("bits").alias("bits"), F.first("letters").alias("letters"))
     classes, seen = _util.materialize_seen(classes.withColumn("id", F.monotonically_increasing_id()), F.sum(F.size("buckets")).alias("entries"))
+    # what the lists of buckets are for is in classes
+    wide, scanned = scanned, _util.materialize(scanned.select("doc_id", "h", "line_no", "c1", "c2", "n_words", "rid"))
+    _util.discard(wide)
     met = _util.materialize(_graph.shared_buckets(classes, seen["entries"] or 0).join(classes.select("id", "n", "bits", "letters"), "id"))
     wanted = classes.join(met.select("id").distinct(), "id").select("id", "first.doc_id", "first.h", "first.line_no")
     # rows that repeat a doc_id and its text have the same lines
@@ -289,8 +292,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     of = _graph.linked(met, classes.select("id", "buckets"), _may_be_alike, f"floor(ln(n) / {-math.log(SIMILARITY - 1e-4)!r}D)", verify, blocks)
     groups = classes.select("id", "c1", "c2", "first").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = groups.groupBy("component").agg(F.min("first").alias("first"))
-    named = groups.select("c1", "c2", "component").join(first, "component").select("c1", "c2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), F.col("first.rid").alias("_rid"))
-    out = scanned.drop("buckets", "n_chars", "bits", "letters").join(named, ["c1", "c2"], "left")
+    named = _util.materialize(groups.select("c1", "c2", "component").join(first, "component").select("c1", "c2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), F.col("first.rid").alias("_rid")))
+    for old in (classes, met, texts, of):
+        _util.discard(old)
+    out = scanned.join(named, ["c1", "c2"], "left")
     return out.selectExpr("doc_id", "h", "line_no", "n_words", *[f"CASE WHEN doc_id IS NOT NULL THEN {c} END AS {c}" for c in ("first_doc_id", "first_line_no")], "doc_id IS NULL OR rid = _rid AS kept")
 
 
