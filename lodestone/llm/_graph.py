@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from ._hash import mix
 
 #: Edges up to which one task finds their components.
 ONE_TASK = 1 << 21
-#: Rows of a side of a block of pairs, and rows whose pairs a task looks for together.
-BLOCK, TOGETHER = 256, 1 << 14
+#: Rows of a side of a block of pairs, rows whose blocks a task reads together, and pairs that it holds at a time, about.
+BLOCK, TOGETHER, PAIRS = 1024, 1 << 14, 1 << 19
+#: Rows that blocks are dealt at a time, at least, and times as many as the rows that they are made of.
+ROWS, TIMES = 1 << 18, 2
 #: Pairs for each entry of a bucket up to which no further leaders are taken, for links that blocks look for.
 DENSE = 64
 #: Members of a bucket that all others are compared with first.
@@ -201,43 +204,62 @@ def looked_for(batches: Iterator[pa.RecordBatch], met: Callable[[pa.Table, np.nd
         role, ids, out = (table.column(c).to_numpy() for c in ("role", "id", "out"))
         buckets, lists = table.column("bucket").to_numpy(), table.column("buckets").combine_chunks()
         names, of = np.unique(table.column("component").to_numpy(), return_inverse=True)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        root, found, many = np.arange(len(names)), [], 0
+        spans = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             middle = a + int(np.searchsorted(role[a:b], 1))
-            i, j = met(table, np.arange(a, middle), np.arange(middle, b))
-            on = (of[i] != of[j]) & (~out[j] | (ids[i] < ids[j]))
+            step = max(1, PAIRS // 4 // max(1, b - middle))
+            spans += [(k, min(k + step, middle), middle, b) for k in range(a, middle, step)]
+        for k, (x, x_end, y, y_end) in enumerate(spans):
+            i, j = met(table, np.arange(x, x_end), np.arange(y, y_end))
+            on = (root[of[i]] != root[of[j]]) & (~out[j] | (ids[i] < ids[j]))
             found.append((i[on], j[on]))
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        on = _first_shared(lists, i, j, buckets[i])
-        i, j = i[on], j[on]
-        root, some = np.arange(len(names)), 4
-        while len(i):
-            # pairs of one outsider lie together
-            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-            now = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < some
-            x, y = i[now], j[now]
-            alike = within(table, x, y)
-            x, y = x[alike], y[alike]
-            if len(x):
-                yield pa.record_batch([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
-                root = roots(np.r_[root, of[x]], np.r_[np.arange(len(names)), of[y]], len(names))
-            left = ~now & (root[of[i]] != root[of[j]])
-            i, j, some = i[left], j[left], some * 2
-
-
-def in_blocks(rest: DataFrame, schema: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """What run makes of the blocks of rest(bucket, id, component, out, buckets, ...): each bucket's outsiders and its members, dealt over blocks of about BLOCK."""
-    sizes = rest.groupBy("bucket").agg(F.expr(f"CAST(ceil(count_if(out) / {BLOCK}) AS INT)").alias("_xs"), F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS INT)").alias("_ys"))
-    own = rest.join(sizes, "bucket")
+            many += len(found[-1][0])
+            if many < PAIRS and k + 1 < len(spans):
+                continue
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            found, many = [], 0
+            on = _first_shared(lists, i, j, buckets[i])
+            i, j, some = i[on], j[on], 4
+            while len(i):
+                # pairs of one outsider lie together
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                now = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < some
+                x, y = i[now], j[now]
+                alike = within(table, x, y)
+                x, y = x[alike], y[alike]
+                if len(x):
+                    yield pa.record_batch([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
+                    root = roots(np.r_[root, of[x]], np.r_[np.arange(len(names)), of[y]], len(names))
+                left = ~now & (root[of[i]] != root[of[j]])
+                i, j, some = i[left], j[left], some * 2
+
+
+def in_blocks(rest: DataFrame, what: DataFrame, schema: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What run makes of the blocks of rest(bucket, id, component, out, ...) with the values of what(id, buckets, ...): each bucket's outsiders and its members, dealt over blocks of about BLOCK.
+
+    A row is in as many blocks as its bucket has on the other side, so all of them at once would grow with the square of a bucket. Blocks are dealt in passes of about
+    TIMES as many rows as rest has, and the shuffle files of a pass go before the next one's are many.
+    """
+    sizes = rest.groupBy("bucket").agg(F.expr(f"CAST(ceil(count_if(out) / {BLOCK}) AS INT)").alias("_xs"), F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS INT)").alias("_ys")).where("_xs > 0")
+    values = _util.materialize(what.join(rest.select("id").distinct(), "id", "left_semi"))
+    own, seen = _util.materialize_seen(rest.join(sizes, "bucket").join(values, "id"), F.count("*").alias("n"), F.expr("sum(_xs + IF(out, _ys, 0))").alias("dealt"))
+    _util.discard(values)
+    passes = -(-(seen["dealt"] or 0) // max(ROWS, TIMES * seen["n"])) or 1
     keys = ["bucket", "xs", "ys", "role"]
+    columns = [c for c in own.columns if c not in ("bucket", "_xs", "_ys")]
 
-    def dealt(rows: DataFrame, role: int, mine: str, others: str) -> DataFrame:
+    def dealt(rows: DataFrame, role: int, mine: str, others: str, k: int) -> DataFrame:
         rows = rows.withColumn(mine, F.expr(f"pmod(xxhash64(id, {role}), _{mine})")).withColumn(others, F.explode(F.expr(f"sequence(0L, _{others} - 1L)"))).withColumn("role", F.lit(role).cast("long"))
-        return rows.select(*keys, *[c for c in rest.columns if c != "bucket"])
+        return rows.where(f"pmod(xxhash64(bucket, xs, ys), {passes}) = {k}").select(*keys, *columns)
 
-    blocks = dealt(own.where("out"), 0, "xs", "ys").unionByName(dealt(own.where("_xs > 0"), 1, "ys", "xs"))
     parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(parts, *keys[:3]).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    found = []
+    for k in range(passes):
+        blocks = dealt(own.where("out"), 0, "xs", "ys", k).unionByName(dealt(own, 1, "ys", "xs", k))
+        found.append(_util.materialize(blocks.repartition(parts, *keys[:3]).sortWithinPartitions(*keys).mapInArrow(run, schema)))
+    _util.discard(own)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
@@ -253,7 +275,7 @@ def linked(members: DataFrame, buckets: DataFrame, alike: Callable[[str], str],
 
     members: bucket, id, size and what `alike(prefix)` and `cell` need; buckets: id, and `buckets`, all of its buckets. alike gives SQL
     that must hold for a linked pair of rows, cell an integer that differs by 1 at most between linked rows, and verify keeps the linked
-    ones of pairs (a, b). blocks, where given, finds links that join what the pairs left at the end join: of (bucket, id, component, out, buckets
+    ones of pairs (a, b). blocks, where given, finds links that join what the pairs left at the end join: of (bucket, id, component, out
     and the values), by in_blocks().
 
     In each bucket all are compared with the few members that share most buckets with others, the most central. Two members
@@ -291,7 +313,7 @@ def linked(members: DataFrame, buckets: DataFrame, alike: Callable[[str], str],
         if found < seen["n"] / 20 or main.agg(F.sum("left")).first()[0] <= (DENSE if blocks else 2) * all_members:
             break
     if blocks:
-        links, seen = _util.materialize_seen(blocks(now.join(buckets, "id").select("bucket", "id", "component", "out", "buckets", *values)), F.count("*").alias("n"))
+        links, seen = _util.materialize_seen(blocks(now.select("bucket", "id", "component", "out", *values)), F.count("*").alias("n"))
         _util.discard(now)
         return _merged(of, links) if seen["n"] else of
     now = now.join(buckets, "id").select("bucket", "id", *values, "component", "buckets", F.expr(f"CAST({cell} AS INT)").alias("cell"), "out")

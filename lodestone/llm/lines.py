@@ -272,28 +272,41 @@ def _grouped(docs: DataFrame) -> DataFrame:
     _util.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     scanned = _util.materialize(_scanned(docs).withColumn("rid", F.monotonically_increasing_id()))
-    classes = scanned.where("doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no", "rid", "h")).alias("first"), F.first("buckets").alias("buckets"), F.first("n_chars").alias("n"), F.first("bits").alias("bits"), F.first("letters").alias("letters"))
-    classes, seen = _util.materialize_seen(classes.withColumn("id", F.monotonically_increasing_id()), F.sum(F.size("buckets")).alias("entries"))
+    # by halves, so that the shuffle files of one half only lie beside both tables
+    halves, entries = [], 0
+    for k, half in enumerate(("c1 < 0", "c1 >= 0")):
+        classes = scanned.where(f"doc_id IS NOT NULL AND {half}").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no", "rid", "h")).alias("first"), F.first("buckets").alias("buckets"), F.first("n_chars").alias("n"), F.first("bits").alias("bits"), F.first("letters").alias("letters"))
+        classes, seen = _util.materialize_seen(classes.withColumn("id", F.monotonically_increasing_id() * 2 + k), F.sum(F.size("buckets")).alias("entries"))
+        halves.append(classes)
+        entries += seen["entries"] or 0
     # what the lists of buckets are for is in classes
     wide, scanned = scanned, _util.materialize(scanned.select("doc_id", "h", "line_no", "c1", "c2", "n_words", "rid"))
     _util.discard(wide)
-    met = _util.materialize(_graph.shared_buckets(classes, seen["entries"] or 0).join(classes.select("id", "n", "bits", "letters"), "id"))
-    wanted = classes.join(met.select("id").distinct(), "id").select("id", "first.doc_id", "first.h", "first.line_no")
+    shared = _util.materialize(_graph.shared_buckets(halves[0].unionByName(halves[1]), entries))
+    # lists and places of the classes that meet another one, and of all classes what names them
+    kept, classes_of = [], []
+    for half in halves:
+        kept.append(_util.materialize(half.join(shared.select("id").distinct(), "id", "left_semi").select("id", "first.doc_id", "first.h", "first.line_no", "buckets", "n", "bits", "letters")))
+        classes_of.append(_util.materialize(half.select("id", "c1", "c2", F.struct("first.doc_id", "first.line_no", "first.rid").alias("first"))))
+        _util.discard(half)
+    wanted, classes = (a.unionByName(b) for a, b in (kept, classes_of))
+    met = _util.materialize(shared.join(wanted.select("id", "n", "bits", "letters"), "id"))
+    _util.discard(shared)
     # rows that repeat a doc_id and its text have the same lines
-    texts = _util.materialize(_texts(_util.one_each(docs), wanted))
+    texts = _util.materialize(_texts(_util.one_each(docs), wanted.select("id", "doc_id", "h", "line_no")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         s, t = texts.toDF("a", "s"), texts.toDF("b", "t")
         return pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_alike, "a long, b long")
 
     def blocks(rest: DataFrame) -> DataFrame:
-        return _graph.in_blocks(rest.join(texts, "id"), "a long, b long", lambda it: _graph.looked_for(it, _may_meet, _rows_alike))
+        return _graph.in_blocks(rest, wanted.select("id", "buckets").join(texts, "id"), "a long, b long", lambda it: _graph.looked_for(it, _may_meet, _rows_alike))
 
-    of = _graph.linked(met, classes.select("id", "buckets"), _may_be_alike, f"floor(ln(n) / {-math.log(SIMILARITY - 1e-4)!r}D)", verify, blocks)
+    of = _graph.linked(met, wanted.select("id", "buckets"), _may_be_alike, f"floor(ln(n) / {-math.log(SIMILARITY - 1e-4)!r}D)", verify, blocks)
     groups = classes.select("id", "c1", "c2", "first").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = groups.groupBy("component").agg(F.min("first").alias("first"))
     named = _util.materialize(groups.select("c1", "c2", "component").join(first, "component").select("c1", "c2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), F.col("first.rid").alias("_rid")))
-    for old in (classes, met, texts, of):
+    for old in (*kept, *classes_of, met, texts, of):
         _util.discard(old)
     out = scanned.join(named, ["c1", "c2"], "left")
     return out.selectExpr("doc_id", "h", "line_no", "n_words", *[f"CASE WHEN doc_id IS NOT NULL THEN {c} END AS {c}" for c in ("first_doc_id", "first_line_no")], "doc_id IS NULL OR rid = _rid AS kept")
