@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from ..sources.tables import materialize
 
 #: Rows of a bucket up to which near_copies() compares it; larger ones are reported by oversized() and compared by near_copies_all().
 BUCKET = 12
+#: Sets of leaves that may be left out, up to which near_copies_all() goes by them.
+SETS = 64
 
 
 def _sized(df: DataFrame, skeleton: list[str]) -> DataFrame:
@@ -59,22 +63,48 @@ def near_copies(df: DataFrame, skeleton: list[str], leaves: list[str], key: str,
     return edges.groupBy(*skeleton).applyInPandas(forest, schema)
 
 
+def _class_links(classes: DataFrame, skeleton: list[str], n: int, max_diff: int) -> DataFrame:
+    """Links between classes of rows with the same n leaves, among them all of their forest and of each class the least: skeleton, a, b, diffs and the classes ja, jb. classes: skeleton, j, a, _x."""
+    left_out = [s for k in range(1, min(n, max_diff) + 1) for s in combinations(range(n), k)]
+    delta = F.size(F.filter(F.zip_with("_x", "_y", lambda p, q: ~p.eqNullSafe(q)), lambda d: d))
+    if len(left_out) <= SETS:
+        agree = [F.array(*[F.when(F.lit(i not in s), F.get("_x", F.lit(i))) for i in range(n)]) for s in left_out]
+    else:
+        cuts = [n * i // (max_diff + 1) for i in range(max_diff + 2)]
+        agree = [F.slice("_x", p + 1, q - p) for p, q in zip(cuts, cuts[1:], strict=False)]
+    block = F.array(*[F.struct(F.lit(i).alias("i"), F.to_json(v, {"ignoreNullFields": "false"}).alias("v")) for i, v in enumerate(agree)])
+    x = classes.withColumn("_block", F.explode(block))
+    if len(left_out) <= SETS:
+        y = x.groupBy(*skeleton, "_block").agg(F.min(F.struct("a", "j", "_x")).alias("_y")).select(*skeleton, "_block", F.col("_y.a").alias("b"), F.col("_y.j").alias("jb"), F.col("_y._x").alias("_y"))
+    else:
+        y = x.select(*skeleton, "_block", F.col("a").alias("b"), F.col("j").alias("jb"), F.col("_x").alias("_y"))
+    met = x.join(y, [*skeleton, "_block"]).where("a < b" if len(left_out) > SETS else "a <> b").withColumn("diffs", delta).where(f"diffs BETWEEN 1 AND {max_diff}")
+    return met.select(*skeleton, "a", "b", "diffs", F.col("j").alias("ja"), "jb").distinct()
+
+
 def near_copies_all(df: DataFrame, skeleton: list[str], leaves: list[str], key: str, max_diff: int = 2) -> DataFrame:
     """near_copies() of buckets of any size, with the same columns and the same forest by difference and keys.
 
-    Rows that differ in at most max_diff leaves agree in one of max_diff + 1 blocks of the leaves at least, so they meet in a join on that
-    block. The forest is Boruvka's: in each round every tree takes its least edge, which is unique as edges are ordered, and no bucket
+    Rows with the same leaves are one class, for which its least key stands. As edges rank by difference and keys, the forest takes an edge between two classes only from one
+    of these keys, and each further key of a class takes the one edge to the key that stands for the nearest class, of these the least. Of classes that agree in all leaves but a
+    few, the forest takes edges from the least key only, as any other is the last of the triangle with it. So the edges looked at grow with the rows, not with
+    their pairs. Of many leaves, of which too many sets of a few can be left out, classes meet in one of max_diff + 1 blocks of leaves, in one of which they agree.
+
+    The forest is Boruvka's: in each round every tree takes its least edge, which is unique as edges are ordered, and no bucket
     is gathered anywhere; a round at least halves the trees that can grow.
     """
-    rows = df.select(*skeleton, F.col(key).alias("a"), F.array(*[F.col(c).cast("string") for c in leaves]).alias("_x"))
-    n = len(leaves)
-    cuts = [n * i // (max_diff + 1) for i in range(max_diff + 2)]
-    block = F.array(*[F.struct(F.lit(i).alias("i"), F.to_json(F.slice("_x", p + 1, q - p), {"ignoreNullFields": "false"}).alias("v")) for i, (p, q) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    x = rows.withColumn("_block", F.explode(block))
-    y = x.select(*skeleton, F.col("a").alias("b"), F.col("_x").alias("_y"), "_block")
-    delta = F.size(F.filter(F.zip_with("_x", "_y", lambda p, q: ~p.eqNullSafe(q)), lambda d: d))
-    edges = x.join(y, [*skeleton, "_block"]).where("a < b").withColumn("diffs", delta).where(f"diffs BETWEEN 1 AND {max_diff}")
-    edges = materialize(edges.select(*skeleton, "a", "b", "diffs").distinct())
+    rows = df.select(*skeleton, F.col(key).alias("a"), F.array(*[F.col(c).cast("string") for c in leaves]).alias("_x")).dropna(subset=[*skeleton, "a"])
+    rows = rows.withColumn("j", F.to_json("_x", {"ignoreNullFields": "false"})).dropDuplicates([*skeleton, "a", "j"])
+    classes = materialize(rows.groupBy(*skeleton, "j").agg(F.min("a").alias("a"), F.first("_x").alias("_x")))
+    links = materialize(_class_links(classes, skeleton, len(leaves), max_diff))
+    ends = links.select(*skeleton, F.col("ja").alias("j"), "diffs", F.col("b").alias("to")).union(links.select(*skeleton, "jb", "diffs", "a"))
+    near = classes.select(*skeleton, "j", F.col("a").alias("_least")).join(ends.groupBy(*skeleton, "j").agg(F.min(F.struct("diffs", "to")).alias("_near")), [*skeleton, "j"])
+    # a key with several leaves is in several classes, and so no leaf of the forest
+    again = rows.groupBy(*skeleton, "a").agg((F.count("*") > 1).alias("_again")).where("_again")
+    further = rows.join(near, [*skeleton, "j"]).where("a <> _least AND a <> _near.to").join(again, [*skeleton, "a"], "left")
+    further = materialize(further.select(*skeleton, "a", F.col("_near.to").alias("to"), F.col("_near.diffs").alias("diffs"), "_again"))
+    edges = links.select(*skeleton, "a", "b", "diffs").union(further.where("_again").select(*skeleton, "a", "to", "diffs"))
+    edges = materialize(edges.select(*skeleton, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "diffs").distinct())
     tree = materialize(edges.select(*skeleton, F.col("a").alias("node")).union(edges.select(*skeleton, "b")).distinct().withColumn("root", F.col("node")))
     kept = edges.limit(0)
     while True:
@@ -97,8 +127,11 @@ def near_copies_all(df: DataFrame, skeleton: list[str], leaves: list[str], key:
             if moved.where("_moved").isEmpty():
                 break
         tree = materialize(tree.join(up, [*skeleton, "root"], "left").select(*skeleton, "node", F.coalesce("to", "root").alias("root")))
-    family = tree.groupBy(*skeleton, "root").agg(F.count("*").cast("int").alias("family"))
-    return kept.join(tree.join(family, [*skeleton, "root"]).select(*skeleton, F.col("node").alias("a"), "family"), [*skeleton, "a"]).select(*skeleton, "a", "b", "diffs", "family")
+    further = further.where("_again IS NULL").join(tree.withColumnRenamed("node", "to"), [*skeleton, "to"])
+    family = tree.select(*skeleton, "root").union(further.select(*skeleton, "root")).groupBy(*skeleton, "root").agg(F.count("*").cast("int").alias("family"))
+    kept = kept.join(tree.withColumnRenamed("node", "a"), [*skeleton, "a"]).select(*skeleton, "a", "b", "diffs", "root")
+    kept = kept.union(further.select(*skeleton, F.least("a", "to"), F.greatest("a", "to"), "diffs", "root"))
+    return kept.join(family, [*skeleton, "root"]).select(*skeleton, "a", "b", "diffs", "family")
 
 
 def lean_and_rich(sites: DataFrame, least: float = 0.25) -> DataFrame:
