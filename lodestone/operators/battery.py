@@ -45,19 +45,52 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("check").agg(F.count(F.when(F.col("gates"), 1)).alias("gating"), F.count(F.when(~F.col("gates"), 1)).alias("advisory"))
 
 
+def _kinds(rows: DataFrame) -> DataFrame:
+    """rows(file, line, check, key, ...) once for each check and key (null: any) that a waiver which covers it may name: columns _c, _k."""
+    cut = F.expr("filter(sequence(1, greatest(1, length(key) - 1)), i -> substring(key, i, 2) = '::')")
+    before = F.transform(cut, lambda i: F.expr("key").substr(F.lit(1), i - 1))
+    keys = F.when(F.col("key").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(F.concat(F.array(F.lit(None).cast("string"), F.col("key"), text.last_segment(F.col("key"))), before)))
+    checks = F.array_distinct(F.array(F.lit(None).cast("string"), F.col("check")))
+    return rows.where("file IS NOT NULL AND line IS NOT NULL").withColumn("_c", F.explode(checks)).withColumn("_k", F.explode(keys))
+
+
+def _spans(waivers: DataFrame) -> DataFrame:
+    """Both ends of the different spans of waivers, on the sides of a line (_side 1) that it covers: file, _c, _k, lo, hi, _at, _side."""
+    spans = waivers.select("file", F.col("check").cast("string").alias("_c"), F.col("key").cast("string").alias("_k"), "lo", "hi").where("file IS NOT NULL AND lo <= hi").distinct()
+    return spans.withColumn("_end", F.explode(F.array(F.struct(F.col("lo").alias("_at"), F.lit(0).alias("_side")), F.struct(F.col("hi").alias("_at"), F.lit(2).alias("_side"))))).select("*", "_end._at", "_end._side").drop("_end")
+
+
+def _so_far(n: str) -> Column:
+    """Sum of n up to here in the lines and ends of spans of one file, check and key."""
+    return F.sum(n).over(W.partitionBy("file", "_c", "_k").orderBy("_at", "_side"))
+
+
 def waive(rows: DataFrame, waivers: DataFrame) -> DataFrame:
-    """Findings that no waiver covers. rows: file, line, check, key; waivers: file, lo, hi, check, key (null: any)."""
-    w = waivers.select(F.col("file").alias("_f"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("check").alias("_c"), F.col("key").alias("_k"))
-    covered = (rows["file"] == w["_f"]) & rows["line"].between(w["_lo"], w["_hi"]) & (w["_c"].isNull() | (w["_c"] == rows["check"])) & text.key_matches(w["_k"], rows["key"])
-    return rows.join(w, covered, "left_anti")
+    """Findings that no waiver covers. rows: file, line, check, key; waivers: file, lo, hi, check, key (null: any).
+
+    Lines and the ends of spans are passed in order, with the spans open at each line counted, so that findings don't meet waivers pair by pair.
+    """
+    ends = _spans(waivers)
+    lines = _kinds(rows.select("file", "line", "check", "key").distinct()).withColumn("_at", F.col("line")).withColumn("_side", F.lit(1)).withColumn("_n", F.lit(0))
+    both = lines.unionByName(ends.drop("lo", "hi").withColumn("_n", F.expr("1 - _side")), allowMissingColumns=True)
+    covered = both.withColumn("_open", _so_far("_n")).where("_side = 1 AND _open > 0").select(F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("check").alias("_ch"), F.col("key").alias("_key")).distinct()
+    same = (rows["file"] == covered["_f"]) & (rows["line"] == covered["_l"]) & rows["check"].eqNullSafe(covered["_ch"]) & rows["key"].eqNullSafe(covered["_key"])
+    return rows.join(covered, same, "left_anti")
 
 
 def ledger(waivers: DataFrame, rows: DataFrame, today: Column) -> DataFrame:
-    """Each waiver with how many findings it covers and its age in days; without hits it is stale, without date undated."""
-    r = rows.select(F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("check").alias("_c"), F.col("key").alias("_k"))
+    """Each waiver with how many findings it covers and its age in days; without hits it is stale, without date undated.
+
+    Findings are counted up to each end of a span, as in waive(); the difference of both ends is what the span covers.
+    """
+    ends = _spans(waivers)
+    lines = _kinds(rows.groupBy("file", "line", "check", "key").agg(F.count("*").alias("_n"))).groupBy("file", "_c", "_k", F.col("line").alias("_at")).agg(F.sum("_n").alias("_n")).withColumn("_side", F.lit(1))
+    both = ends.withColumn("_n", F.lit(0).cast("long")).unionByName(lines, allowMissingColumns=True)
+    passed = both.withColumn("_passed", _so_far("_n")).where("_side <> 1")
+    counts = passed.groupBy("file", "_c", "_k", "lo", "hi").agg(F.sum(F.expr("(_side - 1) * _passed")).alias("suppresses")).toDF("_f", "_c", "_k", "_lo", "_hi", "suppresses")
     w = waivers
-    hit = (w["file"] == r["_f"]) & r["_l"].between(w["lo"], w["hi"]) & (w["check"].isNull() | (w["check"] == r["_c"])) & text.key_matches(w["key"], r["_k"])
-    counts = w.join(r, hit, "left").groupBy(*[w[c] for c in w.columns]).agg(F.count("_f").alias("suppresses"))
+    same = (w["file"] == counts["_f"]) & w["check"].eqNullSafe(counts["_c"]) & w["key"].eqNullSafe(counts["_k"]) & (w["lo"] == counts["_lo"]) & (w["hi"] == counts["_hi"])
+    counts = w.join(counts, same, "left").select(*[w[c] for c in w.columns], F.coalesce("suppresses", F.lit(0)).cast("long").alias("suppresses"))
     return counts.withColumn("age", F.datediff(today, "date")).withColumn("state", F.expr("CASE WHEN suppresses = 0 THEN 'stale' WHEN date IS NULL THEN 'undated' ELSE 'live' END"))
 
 
