@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SCHEME = "1"
-_PRIME_LOW, _OFFSET = 0x1B3, 0xCBF29CE484222325
+_PRIME, _OFFSET = np.uint64((1 << 40) + 0x1B3), 0xCBF29CE484222325
+
+
+def _hashed(texts: pa.Array) -> pa.Array:
+    """FNV-1a of the texts' bytes, as hex digits: of all texts that are long enough one byte at a time."""
+    texts = texts.cast(pa.large_binary())
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    size = np.diff(offsets)
+    order = np.argsort(-size, kind="stable")
+    start, many = offsets[:-1][order], np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")
+    state = np.full(n, _OFFSET, np.uint64)
+    for k, m in enumerate(many.tolist()):
+        state[:m] = (state[:m] ^ data[start[:m] + k]) * _PRIME
+    out = np.empty(n, np.uint64)
+    out[order] = state
+    digits = out.astype(">u8").tobytes().hex()
+    # nulls are shared, digits are 16 a text
+    found = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int64)), pa.py_buffer(digits.encode()))
+    return pc.if_else(texts.is_valid(), found.cast(pa.string()), pa.scalar(None, pa.string()))
+
+
+_fnv1a = F.arrow_udf(_hashed, StringType())
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a of 64 bits over the UTF-8 bytes, as 16 hex digits. The state is two 32-bit halves, since products of whole states overflow."""
-    data = F.hex(F.encode(text, "UTF-8"))
-    places = F.when(F.length(data) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(data) - 1), F.lit(2)))
-    start = F.struct(F.lit(_OFFSET >> 32).cast("long").alias("hi"), F.lit(_OFFSET & 0xFFFFFFFF).cast("long").alias("lo"))
-
-    def step(state: Column, at: Column) -> Column:
-        byte = F.conv(F.substring(data, at, F.lit(2)), 16, 10).cast("long")
-        low = state["lo"].bitwiseXOR(byte)
-        # prime = 2^40 + 0x1b3
-        product = low * _PRIME_LOW
-        carry = F.shiftrightunsigned(product, 32)
-        high = (state["hi"] * _PRIME_LOW + carry + F.shiftleft(low.bitwiseAND(F.lit(0xFFFFFF)), 8)).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.struct(high.alias("hi"), product.bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"))
-
-    return F.aggregate(places, start, step, lambda s: F.lower(F.concat(F.lpad(F.hex(s["hi"]), 8, "0"), F.lpad(F.hex(s["lo"]), 8, "0"))))
+    """FNV-1a of 64 bits over the UTF-8 bytes, as 16 hex digits; null of null."""
+    return _fnv1a(text)
 
 
 def normalize_site(line: Column) -> Column:
